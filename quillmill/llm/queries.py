@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_crc, table
 
 
 def _byte_bpe() -> dict:
@@ -21,5 +22,42 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, separator=0, **_byte_bpe())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_best_fit_packing": op1_best_fit_packing}
+def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import digests, encode_decode
+
+    return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_features, media_rows
+
+    return media_features(media_rows(table(spark, sf_dir, "documents")))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_languages, identify
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_crc() % 5 == 0)
+    model = fit_languages(docs.where(~F.col("held_out")))
+    return identify(docs, model, keep=["held_out"]).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_crc() % 5 == 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = fit_toxicity(docs.where(~F.col("held_out")), labels)
+    return score_toxicity(docs, model, keep=["held_out"]).select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_bpe_transducer": op4_bpe_transducer,
+    "op8_media_columns": op8_media_columns,
+    "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
+}
 ORACLES: dict[str, str] = {}
