@@ -30,6 +30,13 @@ def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, size=20).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_features, media_rows
 
@@ -56,6 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_bpe_transducer": op4_bpe_transducer,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_media_columns": op8_media_columns,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
