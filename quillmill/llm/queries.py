@@ -43,6 +43,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, size=20).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_features, media_rows
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_bpe_transducer": op4_bpe_transducer,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_hmm_scoring": op7_hmm_scoring,
     "op8_media_columns": op8_media_columns,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
