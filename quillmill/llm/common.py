@@ -62,6 +62,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def most_frequent(counts: DataFrame, size: int, key: str, n: str = "n") -> DataFrame:
+    """The ``size`` rows with the largest ``n``, ties by ``key``.
+
+    ``counts`` is read twice. Counts are binned first (512 bins at most), so
+    that the final sort only sees little more than ``size`` rows and no
+    partition sends its own top rows to the driver.
+    """
+    band = F.floor(8 * F.log2(n)).cast("int")
+    rows, found, least = sorted(counts.groupBy(band.alias("band")).count().collect(), reverse=True), 0, 0
+    for r in rows:
+        found, least = found + r["count"], r["band"]
+        if found >= size:
+            break
+    return counts.where(band >= least).orderBy(F.desc(n), key).limit(size)
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of the id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

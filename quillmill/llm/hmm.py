@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_of, id_crc, ragged, slices, written
+from .common import column_of, id_crc, most_frequent, ragged, slices, written
 
 PACKED = "chunk long, vocab binary, doc_ids array<long>, held array<boolean>, lengths array<long>, tokens binary"
 END = 0  # the end's symbol; frequent words and then classes follow
@@ -265,7 +265,7 @@ def train(packed: DataFrame, words: DataFrame, *, frequent: int = 3000, classes:
     spark = packed.sparkSession
     known = words.where("word is not null and c > 0")
     ends = packed.select(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
-    top = known.orderBy(F.desc("c"), "word").limit(frequent).select("word", "c").collect()
+    top = most_frequent(known.select("word", "c"), frequent, "word", "c").collect()
     symbols = Symbols({bytes(r["word"]): i for i, r in enumerate(top, 1)}, classes)
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

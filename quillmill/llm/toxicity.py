@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, slices
+from .common import column_of, slices, written
 
 FEATURES = ("listed", "listed_share", "listed_distinct", "strength", "near_you", "revealed", "capitals", "shouted", "punctuation", "exclaimed", "stretched", "swapped", "log_words")
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti contigo usted ustedes vosotros".split())
@@ -221,7 +221,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, te
     known = labels.where(F.col("label").isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col("label").cast("int").alias("label")).distinct()
     # of rows whose own documents can take part, in order of hash; the label table is narrow
     ids = docs.where(F.length(text_column) <= longest).select(F.col(id_column).alias("id")).distinct()
-    chosen = known.join(ids, "id", "left_semi").orderBy(F.xxhash64("id"), "id", "label").limit(sample).collect()
+    usable = written(known.join(ids, "id", "left_semi"), "labelled")
+    n = usable.count()
+    if n > 2 * sample:  # sort only the part of the hash range that holds the sample
+        usable = usable.where(F.xxhash64("id") < int(-(2**63) + 1.5 * sample / n * 2**64))
+    chosen = usable.orderBy(F.xxhash64("id"), "id", "label").limit(sample).collect()
     if len({r["label"] for r in chosen}) < 2:
         return ToxicityModel({}, None, (np.zeros(1), np.zeros(1)), float(chosen[0]["label"]) if chosen else 0.0)
     few = spark.createDataFrame(chosen, known.schema)  # at most ``sample`` rows
