@@ -85,17 +85,17 @@ def fit_languages(docs: DataFrame, *, text_column: str = "text", lang_column: st
 
     The sample is the ``sample_docs`` documents of each language with the
     smallest hash of their id, each at most an eighth of a dictionary long, so
-    at most ``dictionary_bytes`` of whole texts per language are kept. The
-    sample's ids are ranked without their texts: a hot language moves ids only.
+    at most ``dictionary_bytes`` of whole texts per language are kept.
     """
     spark = docs.sparkSession
     size = F.octet_length(text_column)
     known = docs.where(F.col(lang_column).isNotNull() & (size > 0) & (size <= dictionary_bytes // 8))
     keys = known.select(F.col(lang_column).alias("lang"), F.col(id_column).alias("id"), F.xxhash64(id_column).alias("h"))
-    # ranked within 64 parts of each language first, then among what is left of them
-    for part in (F.pmod("h", F.lit(64)), F.lit(0)):
-        by = Window.partitionBy("lang", "part").orderBy("h", "id")
-        keys = keys.withColumn("part", part).withColumn("r", F.row_number().over(by)).where(F.col("r") <= sample_docs).select("lang", "id", "h")
+    # only the part of the hash range that holds a language's sample is ranked, however many texts it has
+    shares = spark.createDataFrame([(r["lang"], min(1.0, 2 * sample_docs / r["count"])) for r in keys.groupBy("lang").count().collect()], "lang string, share double")
+    near = keys.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_003)), "id")
+    keys = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_docs).select("lang", "id", "h")
     chosen = spark.createDataFrame(keys.collect(), keys.schema)  # at most sample_docs a language
     texts: dict[str, list[tuple]] = {}
     for r in known.select(F.col(lang_column).alias("lang"), F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), ["lang", "id"]).select("lang", "h", "text").collect():
@@ -112,17 +112,18 @@ def fit_languages(docs: DataFrame, *, text_column: str = "text", lang_column: st
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, margin: float = 0.001, text_column: str = "text", id_column: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """``doc_id``, the columns in ``keep``, ``lang_pred``, ``score`` and ``rejected`` for every row."""
-    kept = [id_column, *(keep or [])]
-    rows = docs.select(*kept, F.col(text_column).alias("__text"))
+    """The id, the columns in ``keep`` (but those named like a result), ``lang_pred``, ``score`` and ``rejected`` for every row."""
+    kept = [id_column, *(c for c in keep or [] if c not in (id_column, *["lang_pred", "score", "rejected"]))]
+    text = text_column if text_column in kept else "__text"
+    rows = docs.select(*kept, *([] if text in kept else [F.col(text_column).alias(text)]))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few dictionaries of fixed size
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            found = [own.predict(t, margin) for _, texts in slices(column_of(batch, "__text")) for t in texts]
+            found = [own.predict(t, margin) for _, texts in slices(column_of(batch, text)) for t in texts]
             lang, score, rejected = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*kept, "lang_pred", "score", "rejected"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(kept)])
     return rows.mapInArrow(judge, f"{fields}, lang_pred string, score double, rejected boolean")

@@ -244,17 +244,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, te
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_column: str = "text", id_column: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """``doc_id``, the columns in ``keep`` and ``score`` (0 to 1) for every row."""
-    kept = [id_column, *(keep or [])]
-    rows = docs.select(*kept, F.col(text_column).alias("__text"))
+    """The id, the columns in ``keep`` (but those named like a result) and ``score`` (0 to 1) for every row."""
+    kept = [id_column, *(c for c in keep or [] if c not in (id_column, *["score"]))]
+    text = text_column if text_column in kept else "__text"
+    rows = docs.select(*kept, *([] if text in kept else [F.col(text_column).alias(text)]))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred words and small trees
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            x = [features(t, own.listed) for _, texts in slices(column_of(batch, "__text")) for t in texts]
+            x = [features(t, own.listed) for _, texts in slices(column_of(batch, text)) for t in texts]
             score = own.score(np.array(x).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in kept), pa.array(score, pa.float64())], names=[*kept, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(kept)])
     return rows.mapInArrow(judge, f"{fields}, score double")
