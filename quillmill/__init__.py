@@ -1,0 +1 @@
+"""Literature and document-corpus analytics on Spark DataFrames."""
