@@ -9,7 +9,7 @@ memory-map it, so that they share its pages.
 
 A worker walks all distinct words of a slice through the automaton at once,
 byte by byte. Words outside the lexicon are merged exactly, by rank, with a
-heap (``n log n`` also for words of megabytes). The lexicon therefore only
+heap if they are long (``n log n`` also for words of megabytes). The lexicon therefore only
 decides the speed, never the ids.
 
 A null text has no ids and decodes to the empty text; equal rows give equal
@@ -25,7 +25,7 @@ import os
 import re
 import tempfile
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, joined, ragged, shared_path, slices
+from .common import column_of, joined, most_frequent, ragged, shared_path, slices, written
 
 #: Letters, digits and blanks on which ``re`` and the tokenizer's pattern agree; other texts take the tokenizer's own splitter.
 _SAFE = re.compile("[\x00-\x1b\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-˿Ѐ-ԯ‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥가-힣]*")
@@ -65,6 +65,10 @@ class Merger:
         self.single = [vocab[c] for c in byte_letters()]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self._size = max(vocab.values()) + 1
+        self._none = len(self.merges) * self._size
+        # the same as one number each way, rank before id, for words that a scan merges faster than a heap
+        self._quick = {a * self._size + b: rank * self._size + made for (a, b), (rank, made) in self.merges.items()}
         self._mark = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._known: dict[bytes, tuple[int, ...]] = {}
 
@@ -84,9 +88,23 @@ class Merger:
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word: adjacent pairs merge in the order of their ranks, leftmost first."""
         ids = [self.single[b] for b in word]
+        return self._merge_scan(ids) if len(ids) <= 48 else self._merge_heap(ids)
+
+    def _merge_scan(self, ids: list[int]) -> tuple[int, ...]:
+        size, none, find = self._size, self._none, self._quick.get
+        found = [find(a * size + b, none) for a, b in zip(ids, ids[1:])]
+        while found and (low := min(found)) < none:
+            i = found.index(low)
+            ids[i : i + 2] = (made := low % size,)
+            del found[i]
+            if i:
+                found[i - 1] = find(ids[i - 1] * size + made, none)
+            if i < len(found):
+                found[i] = find(made * size + ids[i + 1], none)
+        return tuple(ids)
+
+    def _merge_heap(self, ids: list[int]) -> tuple[int, ...]:
         n, find = len(ids), self.merges.get
-        if n < 2:
-            return tuple(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := find((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -258,7 +276,8 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, *, size: int = 65_536, l
     ``size`` words of at most ``longest`` bytes bound what the driver holds.
     """
     spark, exact = docs.sparkSession, merger(tokenizer_path)
-    top = word_counts(docs, tokenizer_path, text_column).where((F.length("word") <= longest) & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(size)
+    counts = written(word_counts(docs, tokenizer_path, text_column).where((F.length("word") <= longest) & (F.col("n") > 1)), "words")
+    top = most_frequent(counts, size, "word")
     words = [w for r in top.collect() if (w := bytes(r["word"])).decode() not in exact.special]
     with tempfile.TemporaryDirectory() as folder:  # the driver's own; Spark's file server copies it
         name = os.path.basename(shared_path(spark, "lexicon"))
@@ -281,7 +300,7 @@ class Codec:
 
     def __init__(self, exact: Merger, words: Lexicon):
         self.exact, self.words = exact, words
-        self.data, self.offsets = joined(exact.bytes_of)
+        self.pieces = pa.array(exact.bytes_of, pa.binary())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids start (one more than texts)."""
@@ -313,41 +332,48 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; byte sequences that aren't UTF-8 become replacement characters."""
-        at = self.offsets[ids]
-        return self.data[ragged(at, self.offsets[ids + 1] - at)].tobytes().decode("utf-8", "replace")
+        taken = self.pieces.take(pa.array(ids))  # its values lie one after another
+        end = int(np.frombuffer(taken.buffers()[1], np.int32, len(ids) + 1)[-1]) if len(ids) else 0
+        return taken.buffers()[2][:end].to_pybytes().decode("utf-8", "replace") if end else ""
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, *, lexicon_size: int = 65_536, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document its ids (``token_ids``) and the text decoded from them (``decoded``)."""
+CODED = "doc_id long, token_ids array<int>, decoded string"
+
+
+def encode_decode(docs: DataFrame, tokenizer_path: str, *, lexicon_size: int = 65_536, id_column: str = "doc_id", text_column: str = "text", then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = CODED) -> DataFrame:
+    """Per document its ids (``token_ids``) and the text decoded from them (``decoded``).
+
+    ``then`` turns each batch of these rows into rows of ``schema`` on the
+    worker, for callers that want less than the ids and texts themselves.
+    """
     name = build_lexicon(docs, tokenizer_path, size=lexicon_size, text_column=text_column)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(merger(tokenizer_path), lexicon(name))
         for batch in batches:
             doc_ids = column_of(batch, "doc_id")
-            for first, texts in slices(column_of(batch, "text")):
+            for first, texts in slices(column_of(batch, "text"), 2_000_000):
                 ids, at = codec.encode(texts)
                 decoded = [codec.decode(ids[a:b]) for a, b in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(texts)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "token_ids", "decoded"])
+                coded = pa.RecordBatch.from_arrays([doc_ids.slice(first, len(texts)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "token_ids", "decoded"])
+                yield then(coded) if then else coded
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(code, "doc_id long, token_ids array<int>, decoded string")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(code, schema)
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """Number of ids and sha256 of ids and decoded text, from :func:`encode_decode`'s rows."""
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = column_of(batch, "token_ids")
-            values, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    column_of(batch, "doc_id"),
-                    pa.array(np.diff(at).astype(np.int64)),
-                    pa.array([hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(at, at[1:])], pa.string()),
-                    pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in column_of(batch, "decoded")], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return coded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def digest(coded: pa.RecordBatch) -> pa.RecordBatch:
+    """Number of ids and sha256 of ids and decoded text, from a batch of :func:`encode_decode`."""
+    lists = column_of(coded, "token_ids")
+    values, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+    return pa.RecordBatch.from_arrays(
+        [
+            column_of(coded, "doc_id"),
+            pa.array(np.diff(at).astype(np.int64)),
+            pa.array([hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(at, at[1:])], pa.string()),
+            pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in column_of(coded, "decoded")], pa.string()),
+        ],
+        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    )

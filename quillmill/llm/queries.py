@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import id_crc, table
 
 
-def _byte_bpe() -> dict:
+def byte_bpe() -> dict:
     import public_tokenizers
 
     return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": {"<|endoftext|>": 50256}}
@@ -19,7 +19,7 @@ def _byte_bpe() -> dict:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, separator=0, **_byte_bpe())
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, separator=0, **byte_bpe())
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +28,27 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=85)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import digests, encode_decode
+    from .bpe import DIGESTS, digest, encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), then=digest, schema=DIGESTS)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import Rule, judge_urls
 
-    return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    rules = [Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"), Rule("allow", "org/fr/")]
+    return judge_urls(table(spark, sf_dir, "pages"), labels, rules)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +90,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_bpe_transducer": op4_bpe_transducer,
+    "op5_url_filter": op5_url_filter,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_hmm_scoring": op7_hmm_scoring,
     "op8_media_columns": op8_media_columns,
