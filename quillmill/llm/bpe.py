@@ -24,7 +24,7 @@ import json
 import os
 import re
 import tempfile
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -270,7 +270,7 @@ def word_counts(docs: DataFrame, tokenizer_path: str, text_column: str = "text")
     return docs.select(F.col(text_column).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, tokenizer_path: str, *, size: int = 65_536, longest: int = 64, text_column: str = "text") -> str:
+def build_lexicon(docs: DataFrame, tokenizer_path: str, *, size: int = 262_144, longest: int = 64, text_column: str = "text") -> str:
     """Compile the ``size`` most frequent words of ``docs``; returns the file's name for :func:`lexicon`.
 
     ``size`` words of at most ``longest`` bytes bound what the driver holds.
@@ -307,7 +307,8 @@ class Codec:
         split = self.exact.words
         parts = [split(t) for t in texts]
         flat = [w for p in parts for w in p]
-        number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        number: dict[str, int] = defaultdict()
+        number.default_factory = number.__len__  # a new word gets the next number
         codes = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
         special = self.exact.special
         raw = [w.encode() for w in number]
@@ -340,7 +341,7 @@ class Codec:
 CODED = "doc_id long, token_ids array<int>, decoded string"
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, *, lexicon_size: int = 65_536, id_column: str = "doc_id", text_column: str = "text", then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = CODED) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, *, lexicon_size: int = 262_144, id_column: str = "doc_id", text_column: str = "text", then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = CODED) -> DataFrame:
     """Per document its ids (``token_ids``) and the text decoded from them (``decoded``).
 
     ``then`` turns each batch of these rows into rows of ``schema`` on the

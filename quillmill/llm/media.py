@@ -183,7 +183,9 @@ class ArchiveReader(DataSourceReader):
             out += [DirectoryRange(uri, at + a, at + min(a + self.range_bytes, size)) for a in range(0, size, self.range_bytes)]
         return out
 
-    def read(self, partition: DirectoryRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: DirectoryRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in where there are no partitions
+            return
         store, path = filesystem(partition.archive)
         directory = self._again(lambda: self._bytes(store, path, partition.start, partition.end - partition.start))
         members = []

@@ -233,6 +233,16 @@ def rest_pairs(members: DataFrame, banding: Banding, block: int = 2048) -> DataF
     return home.select(*columns).unionByName(away.select(*columns)).groupBy("band", "bucket", "block").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _shared_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of ids that stand for several texts."""
+    rows = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "set_key")
+    shared = rows.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x <> y").select("doc_id")
+    shared = written(shared, "shared")  # most often empty
+    reps = rows.join(shared, "doc_id").join(classes, "set_key").select("doc_id", "rep").distinct()
+    first = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return reps.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, miss: float = 1e-6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     banding = Banding(threshold, miss=miss)
@@ -249,6 +259,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, mis
     texts = written(texts.join(named, "doc_id", "left_semi"), "texts")
     pairs = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = written(confirm(written(prune(pairs, few, banding), "pairs"), texts, width, threshold), "links")
+    links = links.unionByName(_shared_ids(signed, classes))
     labels = components(links)
     known = labels.withColumnRenamed("id", "doc_id")
     at = members.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))

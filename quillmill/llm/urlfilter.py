@@ -100,10 +100,13 @@ def mine_rules(rows: DataFrame, labels: DataFrame, *, support: float = 0.002, co
         return empty
     # only tokens that bad pages share often enough can be in a rule; the rest never reach the trees
     least = max(2, support * totals["n"])
-    usual = found.where("bad").select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least).select("token")
-    tokens = found.select("page_id", "bad", F.monotonically_increasing_id().alias("row"), F.explode("tokens").alias("token")).join(usual, "token")
-    baskets = tokens.groupBy("row").agg(F.collect_set("token").alias("tokens"), F.first("bad").alias("bad"))
-    baskets = baskets.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
+    usual = found.where("bad").select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
+    # a page has few tokens, so at most that many divided by the support are usual
+    names = sorted(r["token"] for r in usual.collect())
+    if not names:
+        return empty
+    kept = F.array_intersect("tokens", F.lit(names))
+    baskets = found.select(F.when(F.col("bad"), F.array_append(kept, F.lit(BAD))).otherwise(kept).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / totals["n"]), minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= longest))
     base = totals["bad"] / totals["n"]
@@ -112,7 +115,7 @@ def mine_rules(rows: DataFrame, labels: DataFrame, *, support: float = 0.002, co
     each = rules.select("tokens", F.explode("tokens").alias("token"))
     wider = each.alias("w").join(each.alias("n"), "token").where("size(w.tokens) > size(n.tokens)").groupBy(F.col("w.tokens").alias("tokens"), F.col("n.tokens").alias("inner")).count()
     rules = rules.join(wider.where("count = size(inner)").select("tokens").distinct(), "tokens", "left_anti")
-    rarity = found.select(F.explode("tokens").alias("token")).join(usual, "token").groupBy("token").count()
+    rarity = found.select(F.explode(kept).alias("token")).groupBy("token").count()
     anchors = rules.select("tokens", F.explode("tokens").alias("token")).join(rarity, "token").groupBy("tokens").agg(F.min_by("token", F.struct("count", "token")).alias("anchor"))
     return rules.join(anchors, "tokens").select(F.xxhash64("tokens").alias("rule_id"), "tokens", "anchor", "confidence", "support")
 
@@ -131,13 +134,12 @@ def mined_hit(rows: DataFrame, rules: DataFrame, *, literal_rules: int = 2000, s
         none = F.array().cast("array<array<string>>")
         waiting = F.flatten(F.transform(F.col("tokens"), lambda t: F.coalesce(F.element_at(lookup, t), none)))
         return rows.withColumn("mined", F.exists(waiting, lambda s: F.size(F.array_except(s, F.col("tokens"))) == 0))
-    keyed = rows.withColumn("__row", F.struct(F.monotonically_increasing_id(), "page_id", "url"))
-    asks = keyed.select("__row", "tokens", F.explode("tokens").alias("anchor")).withColumn("salt", F.pmod(F.xxhash64("__row"), F.lit(salts)))
+    asks = rows.select("page_id", "url", "tokens", F.explode("tokens").alias("anchor")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)))
     waits = rules.select("anchor", F.col("tokens").alias("rule")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     hits = asks.join(waits, ["anchor", "salt"]).where(F.size(F.array_except("rule", "tokens")) == 0).select("page_id", "url").distinct()
-    hits = hits.withColumn("mined", F.lit(True))
-    same = rows["page_id"].eqNullSafe(hits["page_id"]) & rows["url"].eqNullSafe(hits["url"])
-    return rows.join(hits, same, "left").select(*(rows[c] for c in rows.columns), F.coalesce(hits["mined"], F.lit(False)).alias("mined"))
+    hits = hits.select(F.col("page_id").alias("__page"), F.col("url").alias("__url"), F.lit(True).alias("__hit"))
+    same = F.col("page_id").eqNullSafe(F.col("__page")) & F.col("url").eqNullSafe(F.col("__url"))
+    return rows.join(hits, same, "left").withColumn("mined", F.coalesce("__hit", F.lit(False))).drop("__page", "__url", "__hit")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], *, id_column: str = "page_id", url_column: str = "url", **mining) -> DataFrame:
