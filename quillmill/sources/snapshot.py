@@ -43,7 +43,9 @@ class PageReader(DataSourceReader):
         names = ((re.fullmatch(r"page-(\d+)\.json", f.base_name), f.path) for f in store.get_file_info(fs.FileSelector(base)))
         return sorted((Page(int(m.group(1)), p) for m, p in names if m), key=lambda p: p.number)
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Page | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in where there are no pages
+            return
         store, _ = self._files()
         for attempt in range(self.attempts):
             try:
