@@ -130,7 +130,14 @@ def author_rows(works: DataFrame, paper: str = "paper_id", source: str = "openal
 def subject_rows(works: DataFrame, paper: str = "paper_id", schemes: dict[str, str] | None = None) -> DataFrame:
     """Subjects of all schemes (array columns of ``struct<id, display_name, score>``), the first rank of each id."""
     schemes = schemes or {"topic": "topics", "keyword": "keywords", "concept": "concepts"}
-    parts = F.flatten(F.array(*(F.transform(F.coalesce(F.col(c), F.array()), lambda s, i, n=n: F.struct(F.lit(n).alias("scheme"), (i + 1).alias("rank"), short_openalex_id(s["id"]).alias("subject_id"), s["display_name"].alias("name"), s["score"].cast("double").alias("score"))) for n, c in schemes.items() if c in works.columns)))
+
+    def of(scheme: str, column: str) -> Column:
+        def subject(s: Column, i: Column) -> Column:
+            return F.struct(F.lit(scheme).alias("scheme"), (i + 1).alias("rank"), short_openalex_id(s["id"]).alias("subject_id"), s["display_name"].alias("name"), s["score"].cast("double").alias("score"))
+
+        return F.transform(F.coalesce(F.col(column), F.array()), subject)
+
+    parts = F.flatten(F.array(*(of(n, c) for n, c in schemes.items() if c in works.columns)))
     rows = works.select(paper, F.explode(parts).alias("s")).select(paper, "s.*")
     first = F.row_number().over(Window.partitionBy(paper, "scheme", "subject_id").orderBy("rank"))
     return rows.withColumn("__n", first).where("__n = 1").drop("__n")
