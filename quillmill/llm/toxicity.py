@@ -46,7 +46,8 @@ def plain(word: str) -> str:
 
 def revealed(word: str) -> str:
     """The word without inner marks, digits for letters or stretched letters."""
-    return _RUN.sub(r"\1", _INNER.sub("", word.translate(_UNDO)).lower().strip("*_.-"))
+    bare = word.strip(".,;:!?\"'()[]{}*_-")  # marks that stand for letters stay
+    return _RUN.sub(r"\1", _INNER.sub("", bare.translate(_UNDO)).lower())
 
 
 def features(text: str, listed: dict[str, float]) -> list[float]:
