@@ -8,11 +8,15 @@
    Signatures are compared batch by batch; a pair is given up as soon as the
    posterior chance that its similarity reaches the threshold falls below
    ``miss``. Survivors are confirmed on their full shingle sets.
-4. The links so far give components. Pairs within a bucket whose components
-   differ are the only ones that can still matter, so exactly those are
-   compared, in blocks of bounded size, by the same test and confirmation.
-
-Step 4 leaves out no pair that could join two components, so the result is
+4. *Rounds*, where large buckets still hold several components: in random
+   blocks of a bucket every component but the largest names the pair with
+   another component that agrees best. The few named pairs are confirmed like
+   others, and groups that no hub could hold together grow together.
+5. Pairs within a bucket whose components still differ are the only ones that
+   can matter now, so exactly those are compared, in blocks of bounded size,
+   by the same test and confirmation.
+
+Step 5 leaves out no pair that could join two components, so the result is
 what comparing all banded pairs would give, without listing the pairs of large
 groups. Equal texts are never paired at all.
 
@@ -158,8 +162,9 @@ def _survive(left: np.ndarray, right: np.ndarray, steps: list[tuple[int, int]])
 def prune(pairs: DataFrame, signed: DataFrame, banding: Banding) -> DataFrame:
     """Pairs ``(a, b)`` that survive the sequential comparison of their signatures."""
     steps, width = banding.steps(), banding.hashes
-    left = signed.select(F.col("doc_id").alias("a"), F.col("signature").alias("x"))
-    right = signed.select(F.col("doc_id").alias("b"), F.col("signature").alias("y"))
+    left = signed.select(F.col("doc_id").alias("a"), F.col("signature").alias("x"), F.col("n_shingles").alias("m"))
+    right = signed.select(F.col("doc_id").alias("b"), F.col("signature").alias("y"), F.col("n_shingles").alias("n"))
+    near = 100 * F.least("m", "n") >= banding.threshold * F.greatest("m", "n")  # else the sizes alone rule it out
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +172,7 @@ def prune(pairs: DataFrame, signed: DataFrame, banding: Banding) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(column_of(batch, c).to_pylist()), "<u2").reshape(-1, width) for c in "xy")
                 yield batch.select(["a", "b"]).take(pa.array(_survive(x, y, steps)))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: int, together: int = 64) -> DataFrame:
@@ -200,37 +205,94 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: int, toge
     return rows.groupBy("a", "part").applyInArrow(compare, "a long, b long")
 
 
-def rest_pairs(members: DataFrame, banding: Banding, block: int = 2048) -> DataFrame:
-    """Surviving pairs across components within buckets, from ``(band, bucket, doc_id, component, hub, size, signature)``.
+def rest_links(members: DataFrame, banding: Banding, width: int, block: int = 2048) -> DataFrame:
+    """Confirmed links across components within buckets, from ``(band, bucket, doc_id, component, hub, size, n_shingles, signature, text)``.
 
     A member outside its hub's component is sent to every block of its bucket
-    and compared there with the members of the block. A pair counts in the
-    first band that it shares.
+    and compared there with the members of the block. Survivors are confirmed
+    on the spot, so a group of documents that nearly reach the threshold is
+    never listed pair by pair. A pair is looked at in the first band that it
+    shares, and not again once another pair has joined its components.
     """
-    steps, bands, rows = banding.steps(), banding.bands, banding.rows
+    steps, rows, threshold = banding.steps(), banding.rows, banding.threshold
     stray = F.col("component") != F.col("hub")
     blocks = F.ceil(F.col("size") / block)
     home = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("stray", F.lit(False))
     away = members.where(stray).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("stray", F.lit(True))
-    columns = ["band", "bucket", "block", "doc_id", "component", "signature", "stray"]
+    columns = ["band", "bucket", "block", "doc_id", "component", "n_shingles", "signature", "text", "stray"]
 
     def compare(group: pa.Table) -> pa.Table:
         band = group.column("band")[0].as_py()
         away = group.column("stray").to_numpy(zero_copy_only=False)
-        ids, comp = group.column("doc_id").to_numpy(), group.column("component").to_numpy()
+        ids, comp, size = (group.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(len(ids), -1)
-        here, out = np.flatnonzero(~away), []
-        for k in np.flatnonzero(away):
-            other = here[comp[here] != comp[k]]
-            alive = other[_survive(sig[other], np.broadcast_to(sig[k], (len(other), sig.shape[1])), steps)]
-            if len(alive):
-                equal = (sig[alive] == sig[k])[:, : band * rows].reshape(len(alive), band, rows).all(2).any(1) if band else np.zeros(len(alive), bool)
-                out += [(min(ids[k], i), max(ids[k], i)) for i in ids[alive[~equal]]]
-        found = sorted(set(out))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        texts = group.column("text")
+        sets: dict[str, frozenset] = {}
+
+        def of(k: int) -> frozenset:
+            text = texts[int(k)].as_py() or ""
+            if text not in sets:
+                sets[text] = frozenset(shingles([text], width)[0].tolist())
+            return sets[text]
+
+        here, joined, out = np.flatnonzero(~away), {}, []
+        moved = np.isin(ids[here], ids[away])  # two strays meet where the larger id is at home
+
+        def root(c: int) -> int:
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
 
-    assert bands > 0
-    return home.select(*columns).unionByName(away.select(*columns)).groupBy("band", "bucket", "block").applyInArrow(compare, "a long, b long").distinct()
+        for k in np.flatnonzero(away):
+            fits = 100 * np.minimum(size[here], size[k]) >= threshold * np.maximum(size[here], size[k])
+            other = here[fits & (comp[here] != comp[k]) & ((ids[here] > ids[k]) | ~moved)]
+            other = other[_survive(sig[other], np.broadcast_to(sig[k], (len(other), sig.shape[1])), steps)]
+            if band and len(other):
+                other = other[~(sig[other] == sig[k])[:, : band * rows].reshape(len(other), band, rows).all(2).any(1)]
+            for j in other.tolist():
+                x, y = root(comp[k]), root(comp[j])
+                if x != y:
+                    mine, theirs = of(k), of(j)
+                    common = len(mine & theirs)
+                    if common and 100 * common >= threshold * (len(mine) + len(theirs) - common):
+                        out.append((int(min(ids[k], ids[j])), int(max(ids[k], ids[j]))))
+                        joined[max(x, y)] = min(x, y)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return home.select(*columns).unionByName(away.select(*columns)).groupBy("band", "bucket", "block").applyInArrow(compare, "a long, b long")
+
+
+def best_pairs(members: DataFrame, banding: Banding, number: int, block: int = 256) -> DataFrame:
+    """For each component in a block of a bucket, but the largest, its pair ``(a, b)`` that agrees best with another component."""
+    least = banding.steps()[-1][1]
+    blocks = members.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(number)), F.ceil(F.col("size") / block)))
+
+    def name(group: pa.Table) -> pa.Table:
+        ids, comp = group.column("doc_id").to_numpy(), group.column("component").to_numpy()
+        kinds, of, n = np.unique(comp, return_inverse=True, return_counts=True)
+        out = []
+        if len(kinds) > 1:
+            sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(len(ids), -1)
+            best: dict[int, tuple[int, int, int]] = {}
+            size, threshold = group.column("n_shingles").to_numpy(), banding.threshold
+            for k in np.flatnonzero(of != n.argmax()):
+                fits = 100 * np.minimum(size, size[k]) >= threshold * np.maximum(size, size[k])
+                agree = np.where(fits & (of != of[k]), (sig == sig[k]).sum(1), -1)
+                j = int(agree.argmax())
+                if agree[j] >= least and agree[j] > best.get(of[k], (0, 0, 0))[0]:
+                    best[of[k]] = (int(agree[j]), int(min(ids[k], ids[j])), int(max(ids[k], ids[j])))
+            out = sorted({p[1:] for p in best.values()})
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return blocks.select("band", "bucket", "block", "doc_id", "component", "n_shingles", "signature").groupBy("band", "bucket", "block").applyInArrow(name, "a long, b long").distinct()
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their ``component`` and their hub's, of the buckets that hold more than the hub's."""
+    at = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    hubs = labels.select(F.col("id").alias("hub"), F.col("component").alias("__hub"))
+    at = written(at.join(hubs, "hub", "left").withColumn("hub", F.coalesce("__hub", "hub")).drop("__hub"), "labelled")
+    return at.join(at.where("component <> hub").select("band", "bucket").distinct(), ["band", "bucket"], "left_semi")
 
 
 def _shared_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -243,7 +305,7 @@ def _shared_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
     return reps.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, miss: float = 1e-6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, miss: float = 1e-6, rounds: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     banding = Banding(threshold, miss=miss)
     signed = written(signatures(docs, width, banding, id_column, text_column), "signatures")
@@ -254,21 +316,30 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, mis
     buckets = banded.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1")
     members = written(banded.join(buckets, ["band", "bucket"]), "members")  # of buckets that more than one class shares
     named = members.select("doc_id").distinct()
-    few = written(reps.select("doc_id", "signature").join(named, "doc_id", "left_semi"), "candidates")
+    few = written(reps.select("doc_id", "n_shingles", "signature").join(named, "doc_id", "left_semi"), "candidates")
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     texts = written(texts.join(named, "doc_id", "left_semi"), "texts")
     pairs = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = written(confirm(written(prune(pairs, few, banding), "pairs"), texts, width, threshold), "links")
     links = links.unionByName(_shared_ids(signed, classes))
     labels = components(links)
-    known = labels.withColumnRenamed("id", "doc_id")
-    at = members.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    hubs = labels.select(F.col("id").alias("hub"), F.col("component").alias("__hub"))
-    at = at.join(hubs, "hub", "left").withColumn("hub", F.coalesce("__hub", "hub")).drop("__hub")
-    at = written(at, "labelled")
-    open_buckets = at.where("component <> hub").select("band", "bucket").distinct()
-    rest = at.join(open_buckets, ["band", "bucket"], "left_semi").join(few, "doc_id")
-    more = confirm(written(rest_pairs(rest, banding), "pairs"), texts, width, threshold)
+    at = _labelled(members, labels)
+    n = members.count()
+    for number in range(rounds):
+        # comparisons that are left, at most; where they are few against the members there is nothing to save
+        left = at.where("component <> hub").agg(F.sum("size").alias("n")).first()["n"] or 0
+        if left <= 20 * n:
+            break
+        some = at.where(F.col("band") % 4 == number % 4).join(few, "doc_id")
+        named = written(best_pairs(some, banding, number), "named")
+        found = written(confirm(named, texts, width, threshold), "links")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        labels = components(links)
+        at = _labelled(members, labels)
+    rest = at.join(few, "doc_id").join(texts, "doc_id")
+    more = written(rest_links(rest, banding, width), "links")
     labels = components(links.unionByName(more))
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")

@@ -63,8 +63,8 @@ def test_against_all_pairs(spark, seed, width, threshold):
 
 def test_strays_are_compared_in_blocks(spark, monkeypatch):
     """A chain in which hubs miss links: neighbours are similar, the ends aren't."""
-    whole, blocks = minhash.rest_pairs, []
-    monkeypatch.setattr(minhash, "rest_pairs", lambda m, b: blocks.append(1) or whole(m, b, block=3))
+    whole, blocks = minhash.rest_links, []
+    monkeypatch.setattr(minhash, "rest_links", lambda m, b, w: blocks.append(1) or whole(m, b, w, block=3))
     words = [f"c{k}" for k in range(400)]
     rows = [(i, " ".join(words[2 * i : 2 * i + 60])) for i in range(60)]
     random.Random(4).shuffle(rows)
