@@ -12,7 +12,11 @@ A few thousand sample vectors give each query a floor: its ``k + 1`` best among
 them bound the score that a result must reach, and so the distance up to which
 branches are worth opening. Queries inside clusters stop early; a query whose
 neighbours are hardly nearer than the rest opens leaves until they hold
-``share`` times as many entries as the index (over all trees, with repeats).
+``share`` times as many entries as the index (over all trees, with repeats),
+and never fewer than ``least``. The sample vectors that reach the floor are
+candidates themselves, so at least ``k`` are known before a leaf is opened and
+nothing below the floor can be in a result. An index that is no larger than
+this sample is searched whole, and needs no leaves.
 
 The trees are built on directions, and vectors of different lengths get one
 more component that makes all lengths equal (so that the nearest direction has
@@ -71,14 +75,14 @@ class Forest:
         """Leaves in the order in which one queue over all trees opens them.
 
         ``margins`` are the query's signed distances to the split of every
-        inner node. The search ends when the leaves hold ``most`` entries, or
-        ``least`` and the next branch is farther than ``reach`` (squared).
+        inner node. The search ends when the leaves hold ``least`` entries and
+        either ``most`` or the next branch is farther than ``reach`` (squared).
         """
         queue = [(0.0, int(r)) for r in self.roots]
         heapq.heapify(queue)
         found, out = 0, []
         children, sizes = self.children, self.sizes
-        while queue and found < most:
+        while queue and found < max(least, most):
             bound, node = heapq.heappop(queue)
             if found >= least and bound > reach:
                 break
@@ -159,7 +163,8 @@ def nearest(
     The forest is fitted on at most ``sample`` distinct vectors (those with the
     smallest hash) and broadcast; its size is bounded by ``sample * trees``
     splits. Every distinct vector is indexed. A query opens leaves of at least
-    ``least`` entries and at most ``share`` times the index's.
+    ``least`` entries and, beyond that, at most ``share`` times the index's; an
+    index of at most ``probes`` entries is compared whole.
     """
     spark = rows.sparkSession
     clean = usable(rows, id_column, vector_column)
@@ -179,7 +184,8 @@ def nearest(
     n, longest = stats["n"], float(np.sqrt(stats["longest"])) * (1 + 1e-6)
     part = min(1.0, 1.2 * sample / n)
     fit = entries.where(F.col("key") <= int(-(2**63) + part * (2**64 - 1))) if part < 1 else entries
-    points = np.array([r["vector"] for r in fit.orderBy("key", "entry").limit(sample).select("vector").collect()])
+    picked = fit.orderBy("key", "entry").limit(sample).select("vector", "ids").collect()
+    points = np.array([r["vector"] for r in picked])
     forest = grow_forest(directions(points, longest), trees, max(2, min(leaf, round(leaf * len(points) / n)) if n > len(points) else leaf), seed)
     sent = spark.sparkContext.broadcast(forest)
 
@@ -194,33 +200,45 @@ def nearest(
     leaves = index.select("entry", F.explode("leaves").alias("leaf"))
     for r in leaves.groupBy("leaf").count().collect():  # bounded by the sample
         forest.sizes[r["leaf"]] = r["count"]
-    few = points[np.random.default_rng(seed).permutation(len(points))[:probes]]
-    full = spark.sparkContext.broadcast((forest, few))
+    drawn = np.random.default_rng(seed).permutation(len(points))[:probes]
+    few, whole = points[drawn], len(drawn) == n
+    full = spark.sparkContext.broadcast((forest, few, [picked[i]["ids"] for i in drawn]))
 
     def open_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = full.value
+        own, known, names = full.value
         for batch in batches:
             q = matrix(column_of(batch, "vector"))
-            ids, out = column_of(batch, "vec_id").to_numpy(), []
+            ids, out, near = column_of(batch, "vec_id").to_numpy(), [], []
             for a in range(0, len(q) if batch.num_rows else 0, 256):
                 some = q[a : a + 256]
                 x = directions_of_queries(some)
                 margins = x @ own.normals.T - own.cuts
-                floors = np.full(len(some), -np.inf) if len(known) <= k else np.partition(some @ known.T, -k - 1, axis=1)[:, -k - 1]
+                scores = some @ known.T
+                floors = np.full(len(some), -np.inf) if len(known) <= k else np.partition(scores, -k - 1, axis=1)[:, -k - 1]
                 floors -= 1e-9 * np.maximum(1, np.abs(floors))
+                row, col = np.nonzero(scores >= floors[:, None])
+                exact = np.einsum("ij,ij->i", some[row], known[col])
+                near += [(int(ids[a + i]), v, s) for i, j, s in zip(row.tolist(), col.tolist(), exact.tolist()) for v in names[j]]
+                if whole:
+                    continue
                 # squared distance, between directions, of a vector that scores the floor
                 reach = 2 - 2 * floors / (np.linalg.norm(some, axis=1) * longest)
                 for i, m, floor, r in zip(ids[a : a + 256].tolist(), margins, floors.tolist(), reach.tolist()):
                     out += [(i, floor, f) for f in own.search(m, least, share * n, r)]
             query, floor, leaf_no = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(floor, pa.float64()), pa.array(leaf_no, pa.int64())], names=["query_id", "floor", "leaf"])
+            asker, vec, score = zip(*near) if near else ((), (), ())
+            no, yet = [None] * len(near), [None] * len(out)
+            columns = [pa.array([*query, *asker], pa.int64()), pa.array([*floor, *no], pa.float64()), pa.array([*leaf_no, *no], pa.int64()), pa.array([*yet, *vec], pa.int64()), pa.array([*yet, *score], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "floor", "leaf", "vec_id", "score"])
 
     def directions_of_queries(x: np.ndarray) -> np.ndarray:
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         return np.concatenate([x, np.zeros((len(x), 1))], 1).astype(np.float32)
 
     asked = written(usable(queries, id_column, vector_column).where(F.size("vector") == width).distinct(), "queries")
-    opened = written(asked.mapInArrow(open_leaves, "query_id long, floor double, leaf long"), "opened")
+    told = written(asked.mapInArrow(open_leaves, "query_id long, floor double, leaf long, vec_id long, score double"), "opened")
+    known = told.where("vec_id is not null").select("query_id", "vec_id", "score")
+    opened = told.where("leaf is not null").select("query_id", "floor", "leaf")
     held = leaves.join(entries.select("entry", "vector", "ids"), "entry")
     asking = opened.join(asked.withColumnRenamed("vec_id", "query_id"), "query_id")
     # a leaf that many queries open is searched by blocks of them
@@ -247,6 +265,6 @@ def nearest(
         return pa.table({"query_id": pa.array(np.repeat(left.column("query_id").to_numpy()[row], repeat)), "vec_id": pa.array(flat[index]), "score": pa.array(np.repeat(exact, repeat))})
 
     pairs = asking.select("leaf", "block", "query_id", "floor", "vector").groupBy("leaf", "block").cogroup(held.select("leaf", "block", "vector", "ids").groupBy("leaf", "block")).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    pairs = pairs.where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    pairs = pairs.unionByName(known).where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

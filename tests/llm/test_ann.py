@@ -71,3 +71,34 @@ def test_lengths_matter(spark, scale):
     got = found(nearest(df, df, k=5))
     exact = brute(rows, range(60), 5)
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in exact.items()}
+
+
+@pytest.mark.parametrize("n", [500, 2000, 5000])
+def test_production_parameters_on_small_tables(spark, n):
+    """Half of the vectors in clusters, half without near neighbours; every query has all its rows."""
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(20, 64))
+    x = np.concatenate([centres[rng.integers(0, 20, n // 2)] + 0.3 * rng.normal(size=(n // 2, 64)), rng.normal(size=(n // 2, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = found(nearest(df, df.where("vec_id % 20 = 0"), k=20))
+    exact = brute(rows, range(0, n, 20), 20)
+    assert {q: len(v) for q, v in got.items()} == dict.fromkeys(exact, 20)
+    recalls = [len({i for i, _ in got[q]} & {i for i, _ in exact[q]}) / 20 for q in exact]
+    assert np.mean(recalls) >= (0.9 if n > 4096 else 1)
+
+
+def test_floor_leaves_no_query_short(spark):
+    x = np.random.default_rng(3).normal(size=(900, 32))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    got = found(nearest(df, df.where("vec_id % 30 = 0"), k=20, leaf=32, least=100, share=0.1, probes=600))
+    assert {len(v) for v in got.values()} == {20} and len(got) == 30
+
+
+def test_least_wins_over_most():
+    x = np.random.default_rng(4).normal(size=(400, 8)).astype(np.float32)
+    forest = grow_forest(x, 2, 20, 2)
+    np.add.at(forest.sizes, forest.leaf_of(x).ravel(), 1)
+    opened = forest.search(x[0] @ forest.normals.T - forest.cuts, 300, 100, 0.0)
+    assert forest.sizes[opened].sum() >= 300
