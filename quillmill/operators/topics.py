@@ -6,7 +6,7 @@ import hashlib
 import json
 from functools import reduce
 
-from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -91,11 +91,24 @@ def vectorize(tokens: DataFrame, terms: list[str], column: str = "tokens") -> Da
 
 
 def train_lda(vectors: DataFrame, topics: int, *, seed: int = 0, iterations: int = 20, optimizer: str = "online") -> LDAModel:
-    """Online variational Bayes, with the step sizes that literature tools use by default."""
+    """Online variational Bayes, with the step sizes that literature tools use by default.
+
+    Each iteration is a complete pass: every document is in its batch, once.
+    ``LDA`` itself draws a batch with replacement, which leaves documents out
+    at any rate and can't be set there, so its optimizer is called directly.
+    """
     lda = LDA(k=topics, seed=seed, maxIter=iterations, featuresCol="counts", optimizer=optimizer)
-    if optimizer == "online":
-        lda = lda.setLearningOffset(10.0).setLearningDecay(0.7)
-    return lda.fit(vectors)
+    if optimizer != "online":
+        return lda.fit(vectors)
+    spark = vectors.sparkSession
+    old = spark._jvm.org.apache.spark.mllib.clustering
+    steps = old.OnlineLDAOptimizer().setTau0(10.0).setKappa(0.7).setMiniBatchFraction(1.0).setOptimizeDocConcentration(lda.getOptimizeDocConcentration()).setSampleWithReplacement(False)
+    runs = old.LDA().setK(topics).setMaxIterations(iterations).setSeed(seed).setOptimizer(steps)
+    own = getattr(getattr(spark._jvm.org.apache.spark.ml.clustering, "LDA$"), "MODULE$")
+    rows = own.getOldDataset(vectors.select("counts")._jdf, "counts")
+    found = runs.run(rows)
+    model = LocalLDAModel(spark._jvm.org.apache.spark.ml.clustering.LocalLDAModel(lda.uid, found.vocabSize(), found, spark._jsparkSession))
+    return model.setFeaturesCol("counts").setSeed(seed)
 
 
 def predict(model: LDAModel, vectors: DataFrame) -> DataFrame:

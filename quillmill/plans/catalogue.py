@@ -16,6 +16,7 @@ from ..functions import textops
 from ..functions.nulls import first_value, has_value
 from ..operators import corpus, download, enrich, extract, resolve, search, topics
 from .filterstack import FilterStack, Pattern, RegexFilter, TopicFilter, TopicRule, overview, status_name
+from .storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -393,11 +394,14 @@ def topic_similarity(spark, sf_dir):
 
 @query()
 def lda_topics(spark, sf_dir):
-    """Train, predict and list the scores; SQL can't express it, tests check its invariants."""
-    docs = tokens(spark, sf_dir)
-    terms = [r["term"] for r in topics.vocabulary(docs, max_features=500, doc="doc_id").select("term").collect()]
-    vectors = topics.vectorize(docs.select("doc_id", "tokens"), terms)
-    return topics.scores(topics.predict(topics.train_lda(vectors, 4, seed=1, iterations=5), vectors), "doc_id")
+    """Train, predict and list the scores; SQL can't express it, tests check its invariants.
+
+    The vocabulary and the passes are the operators' defaults: 20,000 terms, 20 complete passes.
+    """
+    docs = tokens(spark, sf_dir).select("doc_id", "tokens")
+    terms = [r["term"] for r in topics.vocabulary(docs, doc="doc_id").select("term").collect()]
+    vectors = written(topics.vectorize(docs, terms).select("doc_id", "counts"), "vectors")  # read by every pass
+    return topics.scores(topics.predict(topics.train_lda(vectors, 4, seed=1), vectors), "doc_id")
 
 
 # --- extraction

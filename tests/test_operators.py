@@ -243,3 +243,23 @@ def test_registry():
         registry.resolve_names("search", ["unpaywall"])
     with pytest.raises(ValueError):
         registry.resolve_names("search", ["nope"])
+
+
+def test_lda_iteration_is_a_complete_pass(spark):
+    from pyspark.ml.linalg import Vectors
+
+    n = 200
+    vectors = spark.createDataFrame([(Vectors.sparse(n, [i], [50.0]),) for i in range(n)], ["counts"])
+    weights = topics.train_lda(vectors, 2, seed=3, iterations=1).topicsMatrix().toArray()
+    assert weights.sum(1).min() > 8  # a term stays near 2 if its only document is not in the batch
+
+
+def test_lda_query_uses_the_whole_vocabulary_and_all_passes(spark, monkeypatch):
+    from quillmill.plans import catalogue
+
+    asked = {}
+    vocabulary, train = topics.vocabulary, topics.train_lda
+    monkeypatch.setattr(topics, "vocabulary", lambda rows, **kw: asked.update(kw) or vocabulary(rows, **kw))
+    monkeypatch.setattr(topics, "train_lda", lambda rows, k, **kw: asked.update(kw) or train(rows, k, **kw))
+    assert catalogue.lda_topics(spark, "/root/testdata/sf0.001").count() > 0
+    assert asked.get("max_features", 20_000) >= 20_000 and asked.get("iterations", 20) >= 20
