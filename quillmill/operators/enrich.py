@@ -128,7 +128,7 @@ def author_rows(works: DataFrame, paper: str = "paper_id", source: str = "openal
 
 
 def subject_rows(works: DataFrame, paper: str = "paper_id", schemes: dict[str, str] | None = None) -> DataFrame:
-    """Subjects of all schemes (array columns of ``struct<id, display_name, score>``), the first rank of each id."""
+    """Subjects of the given schemes, by default topics, keywords and concepts (array columns of ``struct<id, display_name, score>``), the first rank of each id."""
     schemes = schemes or {"topic": "topics", "keyword": "keywords", "concept": "concepts"}
 
     def of(scheme: str, column: str) -> Column:
