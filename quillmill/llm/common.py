@@ -58,6 +58,32 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", counts: DataFrame | None = None, share: int = 4096, least: int = 2000) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key, however unevenly ``left`` holds the keys.
+
+    Keys with more than a ``share``-th of the rows of ``left`` (so fewer than
+    ``share`` keys, and of more than ``least`` rows) meet their row of
+    ``right`` as a broadcast; all others meet in a shuffle. Rows with a null
+    key match nothing and stay where they are. ``how`` is left, inner or
+    left_semi. ``left`` is read up to four times and should be a written table;
+    ``counts`` (the keys and ``n``) saves counting its keys once more.
+    """
+    some = F.lit(True)
+    for c in on:
+        some = some & F.col(c).isNotNull()
+    known, none = left.where(some), left.where(~some)
+    limit = max(least, left.count() / share)
+    if counts is None:
+        counts = known.groupBy(*on).agg(F.count("*").alias("n"))
+    hot = written(counts.where(F.col("n") > limit).select(*on), "hot")
+    if hot.isEmpty():
+        out = known.join(right, on, how)
+    else:
+        few = F.broadcast(hot)
+        out = known.join(few, on, "left_semi").join(F.broadcast(right.join(few, on, "left_semi")), on, how).unionByName(known.join(few, on, "left_anti").join(right, on, how))
+    return out.unionByName(none, allowMissingColumns=True) if how == "left" else out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, mix64, ragged, slices, written
+from .common import column_of, mix64, ragged, slices, spread_join, written
 from .graph import components
 
 _ODD = mix64(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
@@ -206,7 +206,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: int, toge
 
 
 def rest_links(members: DataFrame, banding: Banding, width: int, block: int = 2048) -> DataFrame:
-    """Confirmed links across components within buckets, from ``(band, bucket, doc_id, component, hub, size, n_shingles, signature, text)``.
+    """Confirmed links across components within buckets, from ``(band, bucket, doc_id, component, hub, size, n_shingles, bands, signature, text)``.
 
     A member outside its hub's component is sent to every block of its bucket
     and compared there with the members of the block. Survivors are confirmed
@@ -214,18 +214,19 @@ def rest_links(members: DataFrame, banding: Banding, width: int, block: int = 20
     never listed pair by pair. A pair is looked at in the first band that it
     shares, and not again once another pair has joined its components.
     """
-    steps, rows, threshold = banding.steps(), banding.rows, banding.threshold
+    steps, threshold = banding.steps(), banding.threshold
     stray = F.col("component") != F.col("hub")
     blocks = F.ceil(F.col("size") / block)
     home = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("stray", F.lit(False))
     away = members.where(stray).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("stray", F.lit(True))
-    columns = ["band", "bucket", "block", "doc_id", "component", "n_shingles", "signature", "text", "stray"]
+    columns = ["band", "bucket", "block", "doc_id", "component", "n_shingles", "bands", "signature", "text", "stray"]
 
     def compare(group: pa.Table) -> pa.Table:
         band = group.column("band")[0].as_py()
         away = group.column("stray").to_numpy(zero_copy_only=False)
         ids, comp, size = (group.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(len(ids), -1)
+        bands = np.array(group.column("bands").to_pylist(), np.int64)
         texts = group.column("text")
         sets: dict[str, frozenset] = {}
 
@@ -248,7 +249,7 @@ def rest_links(members: DataFrame, banding: Banding, width: int, block: int = 20
             other = here[fits & (comp[here] != comp[k]) & ((ids[here] > ids[k]) | ~moved)]
             other = other[_survive(sig[other], np.broadcast_to(sig[k], (len(other), sig.shape[1])), steps)]
             if band and len(other):
-                other = other[~(sig[other] == sig[k])[:, : band * rows].reshape(len(other), band, rows).all(2).any(1)]
+                other = other[~(bands[other, :band] == bands[k, :band]).any(1)]
             for j in other.tolist():
                 x, y = root(comp[k]), root(comp[j])
                 if x != y:
@@ -291,8 +292,9 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with their ``component`` and their hub's, of the buckets that hold more than the hub's."""
     at = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     hubs = labels.select(F.col("id").alias("hub"), F.col("component").alias("__hub"))
-    at = written(at.join(hubs, "hub", "left").withColumn("hub", F.coalesce("__hub", "hub")).drop("__hub"), "labelled")
-    return at.join(at.where("component <> hub").select("band", "bucket").distinct(), ["band", "bucket"], "left_semi")
+    at = written(spread_join(written(at, "members"), hubs, ["hub"]).withColumn("hub", F.coalesce("__hub", "hub")).drop("__hub"), "labelled")
+    mixed = at.where("component <> hub").select("band", "bucket").distinct()
+    return spread_join(at, mixed, ["band", "bucket"], "left_semi")
 
 
 def _shared_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -309,19 +311,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, mis
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     banding = Banding(threshold, miss=miss)
     signed = written(signatures(docs, width, banding, id_column, text_column), "signatures")
-    classes = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     classes = written(classes, "classes")
-    reps = signed.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
+    reps = written(signed.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"]), "classes")
     banded = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    buckets = banded.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1")
-    members = written(banded.join(buckets, ["band", "bucket"]), "members")  # of buckets that more than one class shares
+    buckets = written(banded.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1"), "buckets")
+    members = written(spread_join(banded, buckets, ["band", "bucket"], "inner", counts=buckets.withColumnRenamed("size", "n")), "members")  # of buckets that more than one class shares
     named = members.select("doc_id").distinct()
-    few = written(reps.select("doc_id", "n_shingles", "signature").join(named, "doc_id", "left_semi"), "candidates")
+    few = written(reps.select("doc_id", "n_shingles", "bands", "signature").join(named, "doc_id", "left_semi"), "candidates")
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     texts = written(texts.join(named, "doc_id", "left_semi"), "texts")
     pairs = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = written(confirm(written(prune(pairs, few, banding), "pairs"), texts, width, threshold), "links")
-    links = links.unionByName(_shared_ids(signed, classes))
+    links = links.unionByName(_shared_ids(signed, classes.drop("n")))
     labels = components(links)
     at = _labelled(members, labels)
     n = members.count()
@@ -342,6 +344,6 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, mis
     more = written(rest_links(rest, banding, width), "links")
     labels = components(links.unionByName(more))
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    out = spread_join(signed.select("doc_id", "n_shingles", "set_key"), named, ["set_key"], counts=classes)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from quillmill.llm import minhash
+from quillmill.llm import graph, minhash
+from quillmill.llm.common import spread_join
 from quillmill.llm.minhash import Banding, near_duplicates, shingles
 
 
@@ -96,3 +97,45 @@ def test_bands_and_bounds():
 def test_shingles_are_distinct():
     values, counts = shingles(["a b c a b c", "", "A b", "a b"], 3)
     assert counts.tolist() == [3, 0, 1, 1] and values[3] == values[4]
+
+
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    """Pointers double their reach, whichever way a chain is numbered."""
+    tables, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: tables.append(name) or plain(df, name))
+    n = 4096
+    mixed = random.Random(3).sample(range(n), n)
+    for order in (list(range(n)), mixed):
+        tables.clear()
+        edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+        got = graph.components(edges).collect()
+        assert len(got) == n and {r["component"] for r in got} == {0}
+        assert tables.count("edges") <= 9 and (order is mixed or tables.count("step") <= 15)
+
+
+def test_chain_of_versions(spark, monkeypatch):
+    """Each version is near only those beside it, in order of id."""
+    tables, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: tables.append(name) or plain(df, name))
+    words = [f"c{k}" for k in range(400)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(64)]
+    assert run(spark, rows, 3, 85) == brute(rows, 3, 85)
+    assert tables.count("step") <= 3 * 8
+
+
+def test_spread_join_is_a_join(spark):
+    rng = random.Random(1)
+    left = spark.createDataFrame([(rng.choice([1, 1, 1, 1, 2, 3, None, 9]), i) for i in range(400)], "k int, v int")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (None, "n")], "k int, w string")
+    for how in ("left", "inner", "left_semi"):
+        got = spread_join(left, right, ["k"], how, least=20, share=4)
+        want = left.join(right, ["k"], how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert spread_join(left.limit(0), right, ["k"]).count() == 0
+
+
+def test_very_long_and_repeated_texts(spark):
+    """Texts of many words, one word without a blank, rows written more than once."""
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, long), (2, long + " end"), (2, long + " end"), (3, "x" * 1_000_000), (4, "x" * 1_000_000), (5, " " * 1_000_000 + "a"), (6, "a"), (7, "a b")]
+    assert {r[0]: r[2] for r in run(spark, rows, 3, 85)} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7}
