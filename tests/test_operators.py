@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import corpus, download, enrich, extract, resolve, search, topics
+from quillmill.operators import graph
 from quillmill.operators.graph import components
 from quillmill.plans.filterstack import FilterStack, Pattern, RegexFilter, TopicFilter, TopicRule, combine, current, fingerprint, gate, status_name, status_value
 from quillmill.sources import registry
@@ -263,3 +264,12 @@ def test_lda_query_uses_the_whole_vocabulary_and_all_passes(spark, monkeypatch):
     monkeypatch.setattr(topics, "train_lda", lambda rows, k, **kw: asked.update(kw) or train(rows, k, **kw))
     assert catalogue.lda_topics(spark, "/root/testdata/sf0.001").count() > 0
     assert asked.get("max_features", 20_000) >= 20_000 and asked.get("iterations", 20) >= 20
+
+
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    tables, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: tables.append(name) or plain(df, name))
+    n = 4096
+    edges = spark.createDataFrame([(k, k + 1) for k in range(n - 1)], "a long, b long")
+    got = components(edges).collect()
+    assert len(got) == n and {r["component"] for r in got} == {0} and tables.count("step") <= 15
