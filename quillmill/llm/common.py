@@ -58,7 +58,7 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", counts: DataFrame | None = None, share: int = 4096, least: int = 2000) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", counts: DataFrame | None = None, share: int = 4096, least: int = 200) -> DataFrame:
     """``left`` joined with ``right``, which has one row a key, however unevenly ``left`` holds the keys.
 
     Keys with more than a ``share``-th of the rows of ``left`` (so fewer than

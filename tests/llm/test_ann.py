@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from quillmill.llm.ann import grow_forest, nearest
+from quillmill.llm.ann import Shards, grow_forest, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -29,7 +29,7 @@ def test_recall(spark):
     x = np.concatenate([centres[rng.integers(0, 20, 1500)] + 0.3 * rng.normal(size=(1500, 16)), rng.normal(size=(1500, 16))]).astype(np.float32)
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = found(nearest(df, df.where("vec_id % 50 = 0"), k=10, leaf=32, least=600, share=0.8, probes=256))
+    got = found(nearest(df, df.where("vec_id % 50 = 0"), k=10, leaf=32, least=600, budget=2400, probes=256, shard=500, block=32))
     exact = brute(rows, range(0, 3000, 50), 10)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in exact[q]}) for q in exact)
     assert hits / (10 * len(exact)) >= 0.9
@@ -92,13 +92,45 @@ def test_production_parameters_on_small_tables(spark, n):
 def test_floor_leaves_no_query_short(spark):
     x = np.random.default_rng(3).normal(size=(900, 32))
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
-    got = found(nearest(df, df.where("vec_id % 30 = 0"), k=20, leaf=32, least=100, share=0.1, probes=600))
+    got = found(nearest(df, df.where("vec_id % 30 = 0"), k=20, leaf=32, least=100, budget=100, probes=600))
     assert {len(v) for v in got.values()} == {20} and len(got) == 30
 
 
-def test_least_wins_over_most():
+def test_passes_go_on_where_the_last_one_ended():
     x = np.random.default_rng(4).normal(size=(400, 8)).astype(np.float32)
     forest = grow_forest(x, 2, 20, 2)
     np.add.at(forest.sizes, forest.leaf_of(x).ravel(), 1)
-    opened = forest.search(x[0] @ forest.normals.T - forest.cuts, 300, 100, 0.0)
-    assert forest.sizes[opened].sum() >= 300
+    margins = x[0] @ forest.normals.T - forest.cuts
+    whole = forest.search(margins, 0, 500, np.inf)
+    first = forest.search(margins, 0, 150, np.inf)
+    assert forest.sizes[first].sum() >= 150 and first + forest.search(margins, 150, 500, np.inf) == whole
+    near = forest.search(margins, 0, 500, 0.01)
+    assert near == whole[: len(near)] and len(near) < len(whole)
+
+
+def test_shards_are_bounded():
+    sizes = np.array([3, 4, 25, 1, 0, 9, 2])
+    shards = Shards.of(sizes, 10)
+    assert shards.parts.tolist() == [1, 1, 3, 1, 1, 1, 1]
+    load = np.zeros(20)
+    for n, a, p in zip(sizes, shards.first, shards.parts):
+        load[a : a + p] += n / p
+    assert load.max() <= 10 and load.sum() == sizes.sum()
+
+
+def test_queries_and_vectors_that_repeat(spark):
+    """A hot vector, an id with two vectors, doubles, and queries that are no row."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 16))
+    x[100:400] = x[100]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(699, x[0].tolist(), 0), (698, x[698].tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = found(nearest(df, df.where("vec_id % 20 = 0 and vec_id < 600"), k=20, leaf=16, least=200, budget=2000, probes=64, shard=40, block=4))
+    for q, v in got.items():
+        scores = {}
+        for i, w, _ in rows:
+            scores[i] = max(scores.get(i, -9e9), float(x[q] @ np.array(w)))
+        exact = sorted((-s, i) for i, s in scores.items() if i != q)[:20]
+        assert len(v) == 20 and len({i for i, _ in v} & {i for _, i in exact}) >= 18
+        if 100 <= q < 400:
+            assert [i for i, _ in v] == [i for _, i in exact]
