@@ -45,6 +45,7 @@ def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of documents serve as those of the pages with the same number: no table labels pages themselves."""
     from .urlfilter import Rule, judge_urls
 
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
