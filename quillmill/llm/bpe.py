@@ -324,9 +324,11 @@ class Codec:
         starts[hit] = self.words.at[rank[hit]]
         sizes[hit] = self.words.at[rank[hit] + 1] - starts[hit]
         extra = np.fromiter(map(len, own), np.int64, len(own))
-        sizes[unseen], starts[unseen] = extra, len(self.words.ids) + np.cumsum(extra) - extra
-        pool = np.concatenate([self.words.ids, np.fromiter((x for o in own for x in o), np.int64, int(extra.sum()))])
-        ids = pool[ragged(starts[codes], sizes[codes])]
+        sizes[unseen], starts[unseen] = extra, np.cumsum(extra) - extra
+        merged = np.fromiter((x for o in own for x in o), np.int64, int(extra.sum()))
+        index, mapped = ragged(starts[codes], sizes[codes]), np.repeat(hit[codes], sizes[codes])
+        ids = np.empty(len(index), np.int64)
+        ids[mapped], ids[~mapped] = self.words.ids[index[mapped]], merged[index[~mapped]]
         ends = np.concatenate([[0], np.cumsum(sizes[codes])])
         words_at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         return ids, ends[words_at]

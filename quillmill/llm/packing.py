@@ -20,7 +20,6 @@ single separator id. Columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 
@@ -30,46 +29,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bpe import Codec, Lexicon, compile_lexicon, merger
 from .common import column_of, slices, written
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_ENCODERS: dict[tuple, object] = {}
 
 
-def rank_encoder(ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...]):
-    """A tiktoken encoding, one per Python process."""
-    key = (ranks_path, pattern, special)
-    if key not in _ENCODERS:
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
-    return _ENCODERS[key]
-
-
-def token_pieces(docs: DataFrame, *, ranks_path: str, pattern: str, special: dict[str, int], capacity: int, separator: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, *, tokenizer_path: str, capacity: int, separator: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Cut every document into pieces of at most ``capacity`` ids, the rest first.
 
+    Ids are those of the tokenizers library for the file ``tokenizer_path``, by
+    the exact encoder of :mod:`.bpe`, which takes texts of one endless word too.
     One row per piece: its document's id, number, first id, length and the
     crc32 of its ids. The cut leaves the short piece in front, so that all
     later pieces fill a bin by themselves.
     """
-    marks = tuple(sorted(special.items()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, allowed = rank_encoder(ranks_path, pattern, marks), set(special)
+        codec = Codec(merger(tokenizer_path), Lexicon(compile_lexicon([], [])))
         for batch in batches:
-            ids = column_of(batch, "doc_id").to_pylist()
-            for first, texts in slices(column_of(batch, "text")):
-                rows = []
-                for at, text in enumerate(texts, first):
-                    tokens = np.append(encoder.encode_to_numpy(text, allowed_special=allowed), separator).astype("<u4")
+            doc_ids = column_of(batch, "doc_id").to_pylist()
+            for first, texts in slices(column_of(batch, "text"), 2_000_000):
+                rows, (ids, bounds) = [], codec.encode(texts)
+                ids = ids.astype("<u4")
+                for at, a, z in zip(doc_ids[first : first + len(texts)], bounds, bounds[1:]):
+                    tokens = np.append(ids[a:z], np.uint32(separator))
                     n = len(tokens)
                     start, end = 0, (n - 1) % capacity + 1
                     piece = 0
                     while start < n:
-                        rows.append((ids[at], piece, start, end - start, zlib.crc32(tokens[start:end].tobytes())))
+                        rows.append((at, piece, start, end - start, zlib.crc32(tokens[start:end].tobytes())))
                         start, end, piece = end, end + capacity, piece + 1
                 columns = list(zip(*rows))
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

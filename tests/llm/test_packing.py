@@ -87,3 +87,12 @@ def test_ranks_survive_hot_lengths(spark):
     out = pack_documents(docs, capacity=16, **byte_bpe()).toPandas()
     assert out.groupby("sequence_id").size().max() == 16 // out.length[0] and len(out) == 3000
     assert not out.duplicated(["sequence_id", "offset"]).any()
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "a", "a" * 1_000_001, "\n" * 300_000 + " " * 700_000, "1" * 1_000_000, "-" * 1_000_000 + "<|endoftext|>"])
+def test_endless_runs(spark, text):
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    out = pack_documents(docs, **byte_bpe()).where("doc_id = 1").orderBy("piece").collect()
+    ids = np.array([*Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 0], "<u4")
+    assert sum(r["length"] for r in out) == len(ids)
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in out)
