@@ -10,8 +10,9 @@ again, whole, at a thorough level with shorter blocks.
 
 Texts that are null or hold no letter are ``und``, with score 0, and rejected.
 Ties go to the language that sorts first. Repeated rows give repeated rows;
-rows without a language label take no part in fitting. With no labelled text
-at all every row is ``und``.
+rows without a language label take no part in fitting, repeated texts teach
+once, and long ones in pieces. Every language that labels a text with a letter
+gets a dictionary. With no labelled text at all every row is ``und``.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import column_of, slices
+from .common import column_of, slices, written
 
 UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def letters(text: str) -> str:
@@ -80,35 +82,47 @@ class LanguageModel:
         return lang, 1 / (1 + math.exp(-40 * lead)), lead < margin
 
 
-def fit_languages(docs: DataFrame, *, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id", dictionary_bytes: int = 112_640, sample_docs: int = 400) -> LanguageModel:
+def fit_languages(docs: DataFrame, *, text_column: str = "text", lang_column: str = "lang", dictionary_bytes: int = 112_640, sample_pieces: int = 400, piece_chars: int = 3_520) -> LanguageModel:
     """Cut one dictionary per language from a bounded sample of labelled texts.
 
-    The sample is the ``sample_docs`` documents of each language with the
-    smallest hash of their id, each at most an eighth of a dictionary long, so
-    at most ``dictionary_bytes`` of whole texts per language are kept.
+    Whole texts are cut into pieces of ``piece_chars`` characters. The sample
+    is the ``sample_pieces`` different pieces of each language with the
+    smallest hashes, so it does not matter how often a text occurs, how long it
+    is or under which id. A dictionary takes them in that order, reduced to
+    their letters, until it has ``dictionary_bytes``.
     """
     spark = docs.sparkSession
-    size = F.octet_length(text_column)
-    known = docs.where(F.col(lang_column).isNotNull() & (size > 0) & (size <= dictionary_bytes // 8))
-    keys = known.select(F.col(lang_column).alias("lang"), F.col(id_column).alias("id"), F.xxhash64(id_column).alias("h"))
-    # only the part of the hash range that holds a language's sample is ranked, however many texts it has
-    shares = spark.createDataFrame([(r["lang"], min(1.0, 2 * sample_docs / r["count"])) for r in keys.groupBy("lang").count().collect()], "lang string, share double")
-    near = keys.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
-    first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_003)), "id")
-    keys = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_docs).select("lang", "id", "h")
-    chosen = spark.createDataFrame(keys.collect(), keys.schema)  # at most sample_docs a language
+    known = docs.where(F.col(lang_column).isNotNull()).select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text"))
+
+    def pieces(batches: Iterator[pa.RecordBatch], wanted: set[tuple[str, int]] | None = None) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            langs = column_of(batch, "lang").to_pylist()
+            for first, texts in slices(column_of(batch, "text")):
+                found: dict[tuple[str, int], str] = {}
+                for at, text in enumerate(texts, first):
+                    for a in range(0, len(text), piece_chars):
+                        piece = text[a : a + piece_chars]
+                        key = langs[at], xxhash.xxh3_64_intdigest(piece.encode()) - 2**63
+                        if key not in found and (wanted is None or key in wanted) and _LETTER.search(piece):
+                            found[key] = piece if wanted else ""
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.string())], names=["lang", "h", "piece"])
+
+    schema = "lang string, h long, piece string"
+    keys = written(known.mapInArrow(pieces, schema).select("lang", "h").distinct(), "pieces")
+    # only the part of the hash range that holds a language's sample is ranked, however many pieces it has
+    counts = keys.groupBy("lang").count().collect()  # one row a language
+    shares = spark.createDataFrame([(r["lang"], min(1.0, 4 * sample_pieces / r["count"])) for r in counts], "lang string, share double")
+    near = keys.join(F.broadcast(shares), "lang").where((F.col("share") >= 1) | (F.col("h") <= (F.col("share") * 2.0**64 - 2.0**63).cast("long")))
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_pieces)
+    chosen = {(r["lang"], r["h"]) for r in ranked.select("lang", "h").collect()}  # at most ``sample_pieces`` a language
+    found = known.mapInArrow(lambda b: pieces(b, chosen), schema).groupBy("lang", "h").agg(F.min("piece").alias("piece")).collect() if chosen else []
     texts: dict[str, list[tuple]] = {}
-    for r in known.select(F.col(lang_column).alias("lang"), F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), ["lang", "id"]).select("lang", "h", "text").collect():
-        texts.setdefault(r["lang"], []).append((r["h"], letters(r["text"]).encode()))
-    out = {}
-    for lang, found in texts.items():
-        kept, room = [], dictionary_bytes
-        for _, text in sorted(found):
-            if len(text) < room:
-                kept.append(text)
-                room -= len(text) + 1
-        out[lang] = b"\n".join(kept)
-    return LanguageModel(out)
+    for r in found:
+        texts.setdefault(r["lang"], []).append((r["h"], letters(r["piece"]).encode()))
+    out = {lang: b"\n".join(t for _, t in sorted(some) if t)[:dictionary_bytes] for lang, some in texts.items()}
+    return LanguageModel({lang: data for lang, data in out.items() if data})
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, margin: float = 0.001, text_column: str = "text", id_column: str = "doc_id", keep: list[str] | None = None) -> DataFrame:

@@ -8,11 +8,14 @@ of stretched and letter-swapped words, and counts over the whole text.
 Trees are grown on quantile bins with Newton steps for the logistic loss. A
 fold of the sample that the trees never see calibrates their margins by
 isotonic regression (pool adjacent violators). Both need labels and are fitted
-on a bounded sample; scoring is one pass over all rows without a shuffle.
+on a bounded sample of rows with their whole texts. Words are counted and
+features computed where the texts are; the driver only sees the features of the
+sample. Scoring is one pass over all rows without a shuffle.
 
 Null and empty texts have all features 0 and get the score of those. Rows with
 a null label take no part; a document labelled both ways counts once with each
-label. Without labels of both kinds every score is the share of label 1.
+label, an id with several texts once with each, equal rows once. Without labels
+of both kinds every score is the share of label 1.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import column_of, slices, written
 
@@ -193,55 +197,83 @@ class ToxicityModel:
             return np.full(len(x), self.share)
         margin = self.trees.margin(x)
         fit = np.interp(margin, *self.knots)
-        # within a flat stretch of the calibration the margin still ranks
-        return np.clip(0.98 * fit + 0.02 / (1 + np.exp(-margin)), 0, 1)
+        # within a flat stretch of the calibration the margin still ranks; it moves no score by more than a millionth
+        return np.clip(fit + 1e-6 * (1 / (1 + np.exp(-margin)) - fit), 0, 1)
 
 
-def learn_words(texts: list[str], y: np.ndarray, *, size: int = 400, least: int = 4, ratio: float = 2.5) -> dict[str, float]:
-    """Words whose share of label-1 texts stands out, with their smoothed log odds."""
-    seen = (Counter(), Counter())
-    for text, label in zip(texts, y):
-        seen[int(label)].update({plain(w) for w in text.split()})
-    n1, n0 = max(1, int(y.sum())), max(1, len(y) - int(y.sum()))
+def pick_words(counts: list[tuple[str, int, int]], n1: int, n0: int, *, size: int = 400, least: int = 4, ratio: float = 2.5) -> dict[str, float]:
+    """Words whose share of the ``n1`` texts with label 1 stands out, with their smoothed log odds, from ``(word, of label 1, of label 0)``."""
     found = {}
-    for word, c in seen[1].items():
-        odds = float(np.log((c + 0.5) / (n1 + 1)) - np.log((seen[0][word] + 0.5) / (n0 + 1)))
-        if word and c >= least and odds >= ratio:
-            found[word] = odds
+    for word, c1, c0 in counts:
+        odds = float(np.log((c1 + 0.5) / (max(1, n1) + 1)) - np.log((c0 + 0.5) / (max(1, n0) + 1)))
+        if word and c1 >= least and odds >= ratio:
+            found[word] = (odds, c1)
     # rank by evidence, not odds alone: rare words have wild odds
-    return dict(sorted(found.items(), key=lambda p: (-p[1] * seen[1][p[0]], p[0]))[:size])
+    best = sorted(found.items(), key=lambda p: (-p[1][0] * p[1][1], p[0]))[:size]
+    return {word: odds for word, (odds, _) in best}
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, text_column: str = "text", id_column: str = "doc_id", longest: int = 40_000) -> ToxicityModel:
-    """Fit on at most ``sample`` labelled documents, those with the smallest hash of their id.
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``word, c1, c0``: how many texts of either label hold a word, from ``(text, label)``."""
 
-    Documents over ``longest`` characters are left to scoring, so the driver
-    holds at most ``sample * longest`` characters, and far fewer in practice.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = column_of(batch, "label").to_pylist()
+            for first, texts in slices(column_of(batch, "text")):
+                seen = (Counter(), Counter())
+                for at, text in enumerate(texts, first):
+                    seen[labels[at]].update({plain(w) for w in text.split()})
+                words = list({**seen[0], **seen[1]})
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[k][w] for w in words], pa.int64()) for k in (1, 0))], names=["word", "c1", "c0"])
+
+    return rows.select("text", "label").mapInArrow(count, "word string, c1 long, c0 long").groupBy("word").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+
+
+def fit_model(x: np.ndarray, y: np.ndarray, fold: np.ndarray, words: dict[str, float]) -> ToxicityModel:
+    """Trees from the folds 0 to 2 and their calibration from fold 3."""
+    grown, held = fold != 3, fold == 3
+    if len({*y[grown]}) < 2:
+        return ToxicityModel(words, None, (np.zeros(1), np.zeros(1)), float(y.mean()))
+    trees = grow(x[grown], y[grown])
+    knots = isotonic(trees.margin(x[held]), y[held]) if len({*y[held]}) == 2 else isotonic(trees.margin(x), y)
+    return ToxicityModel(words, trees, knots, float(y.mean()))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, text_column: str = "text", id_column: str = "doc_id") -> ToxicityModel:
+    """Fit on at most ``sample`` different labelled rows, those with the smallest hashes of id and text.
+
+    Every fourth row in that order calibrates; words come from the first two
+    of four. ``sample`` bounds the rows whatever their ids and lengths are.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("label").isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col("label").cast("int").alias("label")).distinct()
-    # of rows whose own documents can take part, in order of hash; the label table is narrow
-    ids = docs.where(F.length(text_column) <= longest).select(F.col(id_column).alias("id")).distinct()
-    usable = written(known.join(ids, "id", "left_semi"), "labelled")
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), text.alias("text"), F.xxhash64(F.col(id_column), text).alias("h"))
+    usable = written(rows.select("id", "h").distinct().join(known, "id").select("h", "id", "label"), "labelled")
     n = usable.count()
     if n > 2 * sample:  # sort only the part of the hash range that holds the sample
-        usable = usable.where(F.xxhash64("id") < int(-(2**63) + 1.5 * sample / n * 2**64))
-    chosen = usable.orderBy(F.xxhash64("id"), "id", "label").limit(sample).collect()
+        usable = usable.where(F.col("h") < int(-(2**63) + 1.5 * sample / n * 2**64))
+    chosen = usable.orderBy("h", "id", "label").limit(sample).collect()
     if len({r["label"] for r in chosen}) < 2:
         return ToxicityModel({}, None, (np.zeros(1), np.zeros(1)), float(chosen[0]["label"]) if chosen else 0.0)
-    few = spark.createDataFrame(chosen, known.schema)  # at most ``sample`` rows
-    rows = docs.where(F.length(text_column) <= longest).select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(few), "id")
-    rows = sorted(rows.withColumn("h", F.xxhash64("id")).select("h", "id", "label", "text").collect())
-    texts, y = [r["text"] or "" for r in rows], np.array([r["label"] for r in rows], float)
-    fold = np.arange(len(rows)) % 4  # words from 0 and 1, trees on 2 and 0, calibration on 3
-    words = learn_words([t for t, k in zip(texts, fold) if k < 2], y[fold < 2])
-    x = np.array([features(t, words) for t in texts])
-    grown, held = fold != 3, fold == 3
-    if len({*y[grown]}) < 2:
-        return ToxicityModel(words, None, (np.zeros(1), np.zeros(1)), float(y.mean()))
-    trees = grow(x[grown], y[grown])
-    knots = isotonic(trees.margin(x[held]), y[held]) if len({*y[held]}) == 2 else isotonic(trees.margin(x), y)
-    return ToxicityModel(words, trees, knots, float(y.mean()))
+    few = spark.createDataFrame([(*r, k) for k, r in enumerate(chosen)], StructType([*usable.schema.fields, StructField("place", LongType())]))  # at most ``sample`` rows
+    picked = written(rows.join(F.broadcast(few), ["id", "h"]).groupBy("place", "label").agg(F.min("text").alias("text")), "sampled")
+    first = picked.where("place % 4 < 2")
+    sizes = {r["label"]: r["count"] for r in first.groupBy("label").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    # what can be picked at all; the sums are exact, so the same words come out whatever the partitions were
+    odds = F.log((F.col("c1") + 0.5) / (max(1, n1) + 1)) - F.log((F.col("c0") + 0.5) / (max(1, n0) + 1))
+    likely = word_counts(first).where((F.col("c1") >= 4) & (odds >= 2.5 - 1e-9) & (F.col("word") != ""))
+    words = pick_words([tuple(r) for r in likely.orderBy(F.desc(odds * F.col("c1")), "word").limit(800).collect()], n1, n0)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [features(t, words) for _, texts in slices(column_of(batch, "text")) for t in texts]
+            yield pa.RecordBatch.from_arrays([column_of(batch, "place"), column_of(batch, "label"), pa.array(x, pa.list_(pa.float64()))], names=["place", "label", "x"])
+
+    found = sorted(map(tuple, picked.mapInArrow(measure, "place long, label int, x array<double>").collect()))
+    place, y, x = (np.array(c, float) for c in zip(*found))
+    return fit_model(x, y, place.astype(np.int64) % 4, words)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_column: str = "text", id_column: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
