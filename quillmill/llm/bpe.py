@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import column_of, joined, most_frequent, ragged, shared_path, slices, written
 
 #: Letters, digits and blanks on which ``re`` and the tokenizer's pattern agree; other texts take the tokenizer's own splitter.
-_SAFE = re.compile("[\x00-\x1b\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-˿Ѐ-ԯ‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥가-힣]*")
+SAFE = re.compile("[\x00-\x1b\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-˿Ѐ-ԯ‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥가-힣]*")
 _WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
@@ -79,7 +79,7 @@ class Merger:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if _SAFE.fullmatch(text):
+        if SAFE.fullmatch(text):
             return _WORDS.findall(text)
         from tokenizers.pre_tokenizers import ByteLevel
 

@@ -14,7 +14,7 @@ from .oracles import ORACLES  # noqa: F401  the driver reads it beside QUERIES
 def byte_bpe() -> dict:
     import public_tokenizers
 
-    return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json")}
+    return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmill.llm.packing import pack_documents, plan_packing
+from quillmill.llm.packing import Encoder, endless, pack_documents, plan_packing
 from quillmill.llm.queries import byte_bpe
 
 
@@ -96,3 +96,23 @@ def test_endless_runs(spark, text):
     ids = np.array([*Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 0], "<u4")
     assert sum(r["length"] for r in out) == len(ids)
     assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in out)
+
+
+ENCODER = Encoder(**byte_bpe())
+LIBRARY = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(), st.sampled_from([" ", "\n\n", "the", " the", "'s", "12", "<|endoftext|>", "é", "\u2028", "日本", "²", "_", "--"])), max_size=12).map("".join))
+def test_any_text_has_the_ids_of_the_library(text):
+    assert ENCODER.ids(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_documents_have_the_ids_of_the_library(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert ENCODER.ids(r["text"] or "").tolist() == LIBRARY.encode(r["text"] or "", add_special_tokens=False).ids
+
+
+def test_endless_runs_are_found():
+    assert endless("a " + "b" * 1000) and endless("a" + " " * 1000 + "b") and endless("x" + "\n\t" * 500) and endless(" " * 1000)
+    assert not endless("a " * 5000) and not endless("a  " * 5000) and not endless(("b" * 999 + " " * 999) * 3) and not endless("")
