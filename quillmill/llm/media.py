@@ -3,12 +3,14 @@
 Payloads of 8-bit samples are stored as grey PNG images, many to a ZIP archive
 (members stored as they are, since PNG compresses). Archives are built in
 memory up to a size, then written in one go under a name no other attempt
-uses; only archives that a successful task reports are ever read.
+uses. Where each archive's directory lies goes to an index, a Parquet table
+beside the archives; only the archives of successful tasks are in it, and only
+those are ever read.
 
 Member names have a fixed length, so directory entries do too. The data source
-``archive_members`` reads the end record of each archive on the driver, plans
-partitions as byte ranges of the archives' directories, and executors read
-only their range. Members that lie close together are fetched in one read. A
+``archive_members`` takes the index, plans partitions as byte ranges of the
+archives' directories (several small archives to one partition) without opening
+an archive, and executors read only their ranges. Members that lie close together are fetched in one read. A
 member that can't be read or fails its checksum is read again by its offset,
 alone, a few times; then the job fails rather than lose it. Batches of bounded
 size go to Spark as Arrow records.
@@ -47,6 +49,12 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
+def fs_selector(path: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(path)
+
+
 def padded(data: bytes, unit: int = UNIT) -> bytes:
     """``data`` with bytes 255 up to a positive multiple of ``unit``."""
     return data + b"\xff" * (max(unit, -(-len(data) // unit) * unit) - len(data))
@@ -110,17 +118,22 @@ class ArchiveBuilder:
         self.body.write(data)
         self.members += 1
 
-    def close(self) -> bytes:
+    def close(self) -> tuple[bytes, int, int]:
+        """The archive, and where its directory starts and how long it is."""
         at, directory = self.body.tell(), b"".join(self.entries)
         self.body.write(directory)
         self.body.write(b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, self.members, self.members, len(directory), at, 0))
-        return self.body.getvalue()
+        return self.body.getvalue(), at, len(directory)
 
 
-def store_payloads(docs: DataFrame, folder: str, *, archive_bytes: int = 32_000_000, id_column: str = "doc_id", text_column: str = "text") -> list[str]:
-    """Store every row's text as an image in archives under ``folder``; returns the archives' paths.
+INDEX = "archive string, directory long, directory_bytes long"
 
-    Null texts are empty. The list has one path per ``archive_bytes`` stored.
+
+def store_payloads(docs: DataFrame, folder: str, *, archive_bytes: int = 32_000_000, id_column: str = "doc_id", text_column: str = "text") -> str:
+    """Store every row's text as an image in archives under ``folder``; returns the path of their index.
+
+    Null texts are empty. The index has one row (:data:`INDEX`) per archive,
+    and a file per task.
     """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +143,10 @@ def store_payloads(docs: DataFrame, folder: str, *, archive_bytes: int = 32_000_
 
         def flush() -> pa.RecordBatch:
             name = f"{uuid.uuid4().hex}.zip"
+            data, at, size = builder.close()
             with target.open_output_stream(f"{base}/{name}") as out:
-                out.write(builder.close())
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["archive"])
+                out.write(data)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), pa.array([size], pa.int64())], names=["archive", "directory", "directory_bytes"])
 
         for batch in batches:
             ids = column_of(batch, "doc_id").to_pylist()
@@ -146,61 +160,70 @@ def store_payloads(docs: DataFrame, folder: str, *, archive_bytes: int = 32_000_
             yield flush()
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return sorted(r["archive"] for r in rows.mapInArrow(store, "archive string").collect())
+    index = f"{folder}/index"
+    rows.mapInArrow(store, INDEX).write.parquet(index)
+    return index
 
 
 @dataclass
-class DirectoryRange(InputPartition):
-    """Bytes ``start .. end`` of the directory of ``archive``."""
+class DirectoryRanges(InputPartition):
+    """Bytes ``start .. end`` of the directories of some archives, as (archive, start, end)."""
 
-    archive: str
-    start: int
-    end: int
+    ranges: list[tuple[str, int, int]]
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder = options.get("folder")
-        self.listed = options.get("archives", "")
+        self.folder = options["folder"].rstrip("/")
         self.range_bytes = max(1, int(options.get("rangebytes", 512_000)) // _ENTRY) * _ENTRY
+        self.partition_bytes = int(options.get("partitionbytes", 128_000_000))
         self.batch_bytes = int(options.get("batchbytes", 8_000_000))
         self.attempts = int(options.get("attempts", 4))
 
-    def partitions(self) -> list[DirectoryRange]:
-        """Byte ranges of all directories; the driver reads the 22 bytes that end each archive."""
-        if not self.listed:
-            return []
-        with_names = [f"{self.folder}/{n}" for n in self.listed.split("|")]
-        store, _ = filesystem(self.folder)
-        out = []
-        for uri in with_names:
-            path = filesystem(uri)[1]
-            with store.open_input_file(path) as f:
-                f.seek(f.size() - 22)
-                mark, _, _, _, _, size, at, _ = struct.unpack("<4sHHHHIIH", f.read(22))
-            if mark != b"PK\x05\x06" or size % _ENTRY:
-                raise ValueError(f"{uri} isn't an archive of this module")
-            out += [DirectoryRange(uri, at + a, at + min(a + self.range_bytes, size)) for a in range(0, size, self.range_bytes)]
+    def partitions(self) -> list[DirectoryRanges]:
+        """Byte ranges of all directories, gathered up to ``partitionbytes`` of archives, from the index alone."""
+        import pyarrow.parquet as pq
+
+        store, path = filesystem(f"{self.folder}/index")
+        out, held = [], 0
+        for part in sorted(f.path for f in store.get_file_info(fs_selector(path)) if f.base_name.endswith(".parquet")):
+            with store.open_input_file(part) as f:
+                for name, at, size in zip(*(c.to_pylist() for c in pq.read_table(f, columns=["archive", "directory", "directory_bytes"]).columns)):
+                    if size % _ENTRY:
+                        raise ValueError(f"{name} isn't an archive of this module")
+                    for a in range(0, size, self.range_bytes):
+                        end = min(a + self.range_bytes, size)
+                        # members lie before the directory, about evenly
+                        share = at * (end - a) // max(size, 1)
+                        if not out or size > self.range_bytes or held + share > self.partition_bytes:
+                            out.append(DirectoryRanges([]))
+                            held = 0
+                        out[-1].ranges.append((name, at + a, at + end))
+                        held += share
         return out
 
-    def read(self, partition: DirectoryRange | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: DirectoryRanges | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark's stand-in where there are no partitions
             return
-        store, path = filesystem(partition.archive)
-        directory = self._again(lambda: self._bytes(store, path, partition.start, partition.end - partition.start))
-        members = []
-        for at in range(0, len(directory), _ENTRY):
-            crc, size = struct.unpack_from("<II", directory, at + 16)
-            members.append((struct.unpack_from("<I", directory, at + 42)[0] + 30 + _NAME, size, crc, directory[at + 46 : at + _ENTRY]))
-        group, held = [], 0
-        for member in members:
-            if group and held + member[1] > self.batch_bytes:
+        store, base = filesystem(self.folder)
+        for archive, start, end in partition.ranges:
+            path = f"{base}/{archive}"
+            directory = self._again(lambda path=path, start=start, end=end: self._bytes(store, path, start, end - start))
+            members = []
+            for at in range(0, len(directory), _ENTRY):
+                if directory[at : at + 4] != b"PK\x01\x02":
+                    raise ValueError(f"{path} has no directory at {start}")
+                crc, size = struct.unpack_from("<II", directory, at + 16)
+                members.append((struct.unpack_from("<I", directory, at + 42)[0] + 30 + _NAME, size, crc, directory[at + 46 : at + _ENTRY]))
+            group, held = [], 0
+            for member in members:
+                if group and held + member[1] > self.batch_bytes:
+                    yield self._batch(store, path, group)
+                    group, held = [], 0
+                group.append(member)
+                held += member[1]
+            if group:
                 yield self._batch(store, path, group)
-                group, held = [], 0
-            group.append(member)
-            held += member[1]
-        if group:
-            yield self._batch(store, path, group)
 
     def _bytes(self, store, path: str, at: int, size: int) -> bytes:
         with store.open_input_file(path) as f:
@@ -241,7 +264,7 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveMembers(DataSource):
-    """``spark.read.format("archive_members").option("folder", ...).option("archives", "a.zip|b.zip")``."""
+    """``spark.read.format("archive_members").option("folder", ...)``, of archives with their index."""
 
     @classmethod
     def name(cls) -> str:
@@ -258,9 +281,9 @@ def media_rows(docs: DataFrame, **options) -> DataFrame:
     """``doc_id`` and ``media`` (the stored image) for every row of ``docs``, read back from archives."""
     spark = docs.sparkSession
     folder = shared_path(spark, "media")
-    archives = store_payloads(docs, folder, **options)
+    store_payloads(docs, folder, **options)
     spark.dataSource.register(ArchiveMembers)
-    return spark.read.format("archive_members").option("folder", folder).option("archives", "|".join(a.rsplit("/", 1)[1] for a in archives)).load()
+    return spark.read.format("archive_members").option("folder", folder).load()
 
 
 def describe_payload(payload: bytes) -> str:

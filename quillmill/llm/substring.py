@@ -12,10 +12,15 @@ windows are sorted by hash, and neighbours with equal hashes are compared word
 by word, so the result is exact.
 
 Skew: windows that repeat within a slice are settled there, and only their
-first place travels. Minimisers that are frequent in the whole corpus (counted
-beforehand over all texts) spread their windows over all buckets by the
-window's own hash. The number of buckets follows the size of the texts, so a
-bucket has a bounded share.
+first place travels. Minimisers that are frequent in the whole corpus spread
+their windows over all buckets by the window's own hash. They are found by a
+sketch: every task counts all its minimisers in two arrays of fixed size, at
+cells that two hashes name, and the arrays are added up over all tasks, so a
+minimiser that is rare in every slice and common over all is found too. What is
+broadcast is a bit for each cell, whatever the size of the corpus. A minimiser
+that shares its cells with a frequent one spreads as well, which changes no
+result. The number of buckets follows the size of the texts, so a bucket has a
+bounded share.
 
 Null texts have no words. Rows that share an id count as one document written
 more than once: equal windows at the same place leave each other alone. Rows
@@ -39,6 +44,8 @@ TRIPLE = 3
 #: Packed text that a bucket holds on average, in bytes, and how many times the text the packed windows are.
 BUCKET_BYTES = 8_000_000
 SPREAD = 3
+#: Cells of each of a sketch's two arrays, and how many of them travel together.
+CELLS, TOGETHER = 1 << 20, 2048
 _ODD = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -118,14 +125,17 @@ def _read(doc_ids: pa.Array, texts: list[str], first: int) -> tuple[np.ndarray,
     return np.array([i for i, _ in rows], np.int64), [texts[k - first].encode().split() for _, k in rows]
 
 
-def _frequent(docs: DataFrame, size: int, limit: float) -> list[int]:
-    """Minimisers of more than ``limit`` runs of windows in the whole corpus.
+def _cells(minimisers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the two arrays of a sketch count a minimiser."""
+    return (minimisers % np.uint64(CELLS)).astype(np.int64), (mix64(minimisers + np.uint64(1)) % np.uint64(CELLS)).astype(np.int64)
 
-    A slice reports those it has at least 16 times; what is collected are the
-    few whose sum exceeds the limit.
-    """
+
+def _frequent(docs: DataFrame, size: int, limit: float) -> np.ndarray:
+    """A bit for each cell of the two arrays: whether more than ``limit`` runs of windows have a minimiser there."""
+    import zstandard
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, CELLS), np.int64)
         for batch in batches:
             for first, texts in slices(column_of(batch, "text")):
                 _, words = _read(column_of(batch, "doc_id"), texts, first)
@@ -133,11 +143,32 @@ def _frequent(docs: DataFrame, size: int, limit: float) -> list[int]:
                 low = row.minimisers()
                 new = np.ones(len(low), bool)
                 new[1:] = (low[1:] != low[:-1]) | (row.text[1:] != row.text[:-1])
-                values, n = np.unique(low[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values[n >= 16].view(np.int64)), pa.array(n[n >= 16].astype(np.int64))], names=["minimiser", "n"])
+                for array, at in zip(sums, _cells(low[new])):
+                    array += np.bincount(at, minlength=CELLS)
+        press = zstandard.ZstdCompressor(level=1)
+        parts = [(k, part) for k, part in enumerate(sums.reshape(-1, TOGETHER)) if part.any()]
+        packed = [press.compress(part.astype(np.min_scalar_type(int(part.max()))).tobytes()) for _, part in parts]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array(packed, pa.binary())], names=["part", "packed"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(TOGETHER, np.int64)
+        for data in group.column("packed"):
+            data = zstandard.ZstdDecompressor().decompress(data.as_py())
+            total += np.frombuffer(data, f"<u{len(data) // TOGETHER}")
+        return pa.table({"part": group.column("part").slice(0, 1), "bits": pa.array([np.packbits(total > limit).tobytes()], pa.binary())})
+
+    out = np.zeros((2 * CELLS // TOGETHER, TOGETHER // 8), np.uint8)
+    for r in docs.mapInArrow(count, "part int, packed binary").groupBy("part").applyInArrow(add, "part int, bits binary").collect():  # as many rows as the arrays have parts
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(2, -1)
+
 
-    sums = docs.mapInArrow(count, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
-    return sorted(r["minimiser"] for r in sums.where(F.col("n") > limit).select("minimiser").collect())
+def _is_frequent(bits: np.ndarray, minimisers: np.ndarray) -> np.ndarray:
+    """Whether both cells of each minimiser are over the limit."""
+    out = np.ones(len(minimisers), bool)
+    for array, at in zip(bits, _cells(minimisers)):
+        out &= (array[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def _pack(row: Words, words: list[bytes], doc: np.ndarray, place: np.ndarray, travels: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -181,12 +212,13 @@ def repeated_spans(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     total = rows.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-total * SPREAD // BUCKET_BYTES))
-    # runs of windows come about once in 60 bytes; a minimiser with an eighth of a bucket's runs is spread, so 8 a bucket at most are
-    hot = np.array(_frequent(rows, size, max(64, total / 60 / buckets / 8)), np.int64).view(np.uint64)
-    sent = spark.sparkContext.broadcast(hot)
+    # runs of windows come about once in 60 bytes; a minimiser with an eighth of a bucket's runs is spread.
+    # Beyond some hundred thousand buckets a cell's ordinary share is more than that, and the limit follows it.
+    runs = total / 60
+    sent = spark.sparkContext.broadcast(_frequent(rows, size, max(64, runs / buckets / 8, 4 * runs / CELLS)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.sort(sent.value)
+        hot = sent.value
         for batch in batches:
             for begin, texts in slices(column_of(batch, "text")):
                 ids, lists = _read(column_of(batch, "doc_id"), texts, begin)
@@ -195,9 +227,7 @@ def repeated_spans(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
                 hashes, low = row.window_hash(), row.minimisers()
                 doc, place = ids[row.text], row.at - row.first[row.text]
                 repeat, first = row.repeats(doc, place, hashes)
-                if len(hot):
-                    spread = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
-                    low = np.where(spread, mix64(hashes), low)
+                low = np.where(_is_frequent(hot, low), mix64(hashes), low)
                 out = list(_pack(row, words, doc, place, first, (low % np.uint64(buckets)).astype(np.int64)))
                 key, start, end = _spans(doc[repeat], place[repeat], size)
                 settled = np.stack([key, start, end]).astype("<i8")
@@ -242,7 +272,9 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
     """
     docs = docs.drop("n_words", "n_removed", "removed_spans", "kept_text")
     spans = repeated_spans(docs, size=size, id_column=id_column, text_column=text_column).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    both = docs.join(spans, docs[id_column].cast("long") == F.col("__id"), "left").drop("__id")
+    own = F.col(id_column).cast("long")
+    both = docs.where(own.isNotNull()).withColumn("__own", own).join(spans, F.col("__own") == F.col("__id"), "left").drop("__own", "__id")
+    both = both.unionByName(docs.where(own.isNull()), allowMissingColumns=True)  # these meet nothing, so they stay where they are
     names = docs.columns
     text = names.index(text_column)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

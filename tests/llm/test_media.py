@@ -33,7 +33,7 @@ def test_archives_are_plain_zip():
     builder = media.ArchiveBuilder()
     for i in (5, None, -3):
         builder.add(i, b"data%d" % (i or 0))
-    with zipfile.ZipFile(io.BytesIO(builder.close())) as z:
+    with zipfile.ZipFile(io.BytesIO(builder.close()[0])) as z:
         assert z.testzip() is None and [media.member_id(n.encode()) for n in z.namelist()] == [5, None, -3]
         assert z.read(z.namelist()[2]) == b"data-3"
 
@@ -54,19 +54,54 @@ def test_features(spark):
     assert first == second and first["media_bytes"] > 0 and first["feature"]
 
 
+def test_feature_of_every_row(spark):
+    """The feature string, recomputed from the padded text sample by sample."""
+    import math
+    from collections import Counter
+
+    for r in media.media_features(media.media_rows(rows(spark))).collect():
+        text = next(t for i, t in ROWS if i == r["doc_id"])
+        counts = Counter(media.padded((text or "").encode()))
+        n = sum(counts.values())
+        mean = sum(b * c for b, c in counts.items()) / n
+        std = math.sqrt(sum(c * (b - mean) ** 2 for b, c in counts.items()) / n)
+        entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+        top = min(counts, key=lambda b: (-counts[b], b))
+        got = dict(p.split("=") for p in r["feature"].split(";"))
+        assert abs(float(got["mean"]) - mean) < 1e-3 and abs(float(got["std"]) - std) < 1e-3 and abs(float(got["entropy"]) - entropy) < 1e-4
+        assert got["top"].split(":")[0] == str(top) and abs(float(got["top"].split(":")[1]) - counts[top] / n) < 1e-4
+
+
 def test_ranges_cover_the_directory(spark, tmp_path):
-    paths = media.store_payloads(rows(spark).coalesce(1), f"file://{tmp_path}")
-    names = "|".join(p.rsplit("/", 1)[1] for p in paths)
-    reader = media.ArchiveReader({"folder": f"file://{tmp_path}", "archives": names, "rangebytes": 200, "batchbytes": 100})
+    index = media.store_payloads(rows(spark).coalesce(1), f"file://{tmp_path}")
+    assert spark.read.parquet(index).count() == 1
+    reader = media.ArchiveReader({"folder": f"file://{tmp_path}", "rangebytes": 200, "batchbytes": 100})
+    parts = reader.partitions()
+    assert len(parts) == 4
+    ids = [i for p in parts for b in reader.read(p) for i in b.column(0).to_pylist()]
+    assert sorted(ids, key=str) == sorted((i for i, _ in ROWS), key=str)
+
+
+def test_small_archives_share_partitions(spark, tmp_path):
+    """The plan opens no archive, and a partition takes several of them up to its size."""
+    index = media.store_payloads(rows(spark), f"file://{tmp_path}", archive_bytes=300)
+    archives = spark.read.parquet(index).orderBy("archive").collect()
+    assert len(archives) > 4
+    held = {r["archive"]: (tmp_path / r["archive"]).read_bytes() for r in archives}
+    for r in archives:
+        (tmp_path / r["archive"]).unlink()
+    reader = media.ArchiveReader({"folder": f"file://{tmp_path}", "partitionbytes": 1000})
     parts = reader.partitions()
-    assert len(parts) == 4 * len(paths)
+    assert 1 < len(parts) < len(archives) and sorted(a for p in parts for a, _, _ in p.ranges) == sorted(held)
+    for name, data in held.items():
+        (tmp_path / name).write_bytes(data)
     ids = [i for p in parts for b in reader.read(p) for i in b.column(0).to_pylist()]
     assert sorted(ids, key=str) == sorted((i for i, _ in ROWS), key=str)
 
 
 def test_members_are_retried_alone(spark, tmp_path, monkeypatch):
-    paths = media.store_payloads(rows(spark).coalesce(1), f"file://{tmp_path}")
-    reader = media.ArchiveReader({"folder": f"file://{tmp_path}", "archives": paths[0].rsplit("/", 1)[1]})
+    media.store_payloads(rows(spark).coalesce(1), f"file://{tmp_path}")
+    reader = media.ArchiveReader({"folder": f"file://{tmp_path}"})
     whole, calls = reader._bytes, []
 
     def flaky(store, path, at, size):

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from quillmill.llm import substring
 from quillmill.llm.substring import remove_repeats
 
@@ -60,11 +62,30 @@ def test_against_brute_force(spark):
 def test_spread_minimisers_change_nothing(spark, monkeypatch):
     """Frequent minimisers go to buckets window by window; several buckets and slices are in use."""
     rows = corpus(3)
-    words = [w for _, t in rows if t for w in t.encode().split()]
-    row = substring.Words(words, __import__("numpy").array([len(words)]), 20)
-    every = sorted({int(x) for x in row.minimisers().view("int64")})
-    monkeypatch.setattr(substring, "_frequent", lambda *a: every)
     monkeypatch.setattr(substring, "BUCKET_BYTES", 4000)
+    for bits in (0, 0b10101010, 255):
+        monkeypatch.setattr(substring, "_frequent", lambda *a, bits=bits: np.full((2, substring.CELLS // 8), bits, np.uint8))
+        assert run(spark, rows, 20)[0] == brute(rows, 20)
+
+
+def test_minimiser_that_is_rare_in_each_slice_is_found(spark):
+    """One passage in each of very many small tasks, once a task."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(i, passage + "\n" + " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(100)
+    bits = substring._frequent(docs, 20, 150)
+    low = substring.Words(passage.encode().split(), np.array([20]), 20).minimisers()
+    assert substring._is_frequent(bits, low).all()
+    assert sum(np.unpackbits(b).sum() for b in bits) < 40
+    own = substring.Words(rows[0][1].encode().split(), np.array([80]), 20).minimisers()
+    assert substring._is_frequent(bits, own).mean() < 0.5
+
+
+def test_odd_rows(spark):
+    """A very long text, one endless word, blanks only, many rows without an id."""
+    long = " ".join(f"w{k % 5000}" for k in range(60_000))
+    rows = [(1, long), (2, "x" * 1_000_000), (3, "x" * 1_000_000), (4, " " * 500_000), (5, long)] + [(None, long[:2000])] * 20
     assert run(spark, rows, 20)[0] == brute(rows, 20)
 
 
