@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import id_crc, table, written
@@ -45,11 +45,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from quillmill.llm.minhash import near_duplicates
 
     gone = near_duplicates(docs, width=5, threshold=80).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return left.withColumn("__first", first).where("doc_id is null or __first = 1").select(docs.columns)
+    named, rest = docs.where("doc_id is not null"), docs.where("doc_id is null")  # the latter are linked with nothing
+    left = named.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        row = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.coalesce("text", F.lit("")))
+        left = left.groupBy(F.col("doc_id").alias("__id")).agg(row.alias("__row")).select("__row.*")
+    return left.unionByName(rest)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
