@@ -167,19 +167,32 @@ def grow(x: np.ndarray, y: np.ndarray, *, rounds: int = 60, depth: int = 3, rate
     return Trees(base, np.array(out_f), np.array(out_t), np.array(out_v), depth)
 
 
-def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the nondecreasing least-squares fit (pool adjacent violators), for interpolation."""
+def _pooled(blocks: list[list[float]]) -> list[list[float]]:
+    """Adjacent blocks (mean, weight, first and last score) pooled until their means rise."""
+    out: list[list[float]] = []
+    for block in blocks:
+        out.append(list(block))
+        while len(out) > 1 and out[-2][0] >= out[-1][0]:
+            m2, w2, _, last = out.pop()
+            m1, w1, first, _ = out.pop()
+            out.append([(m1 * w1 + m2 * w2) / (w1 + w2), w1 + w2, first, last])
+    return out
+
+
+def isotonic(scores: np.ndarray, y: np.ndarray, prior: float | None = None, weight: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the nondecreasing least-squares fit (pool adjacent violators), for interpolation.
+
+    With ``prior``, each block counts ``weight`` more observations of that
+    value, so that one or two rows can't claim what they don't show, and blocks
+    are pooled again.
+    """
     order = np.argsort(scores, kind="stable")
     values, index = np.unique(scores[order], return_index=True)
     weights = np.diff([*index, len(scores)]).astype(float)
     means = np.add.reduceat(y[order].astype(float), index) / weights
-    blocks: list[list[float]] = []  # mean, weight, first and last score
-    for m, w, s in zip(means, weights, values):
-        blocks.append([m, w, s, s])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            m2, w2, _, last = blocks.pop()
-            m1, w1, first, _ = blocks.pop()
-            blocks.append([(m1 * w1 + m2 * w2) / (w1 + w2), w1 + w2, first, last])
+    blocks = _pooled([[m, w, s, s] for m, w, s in zip(means, weights, values)])
+    if prior is not None:
+        blocks = _pooled([[(m * w + weight * prior) / (w + weight), w + weight, a, z] for m, w, a, z in blocks])
     xs = [e for b in blocks for e in ([b[2], b[3]] if b[2] < b[3] else [b[2]])]
     ys = [e for b in blocks for e in ([b[0]] * (2 if b[2] < b[3] else 1))]
     return np.array(xs), np.array(ys)
@@ -235,8 +248,9 @@ def fit_model(x: np.ndarray, y: np.ndarray, fold: np.ndarray, words: dict[str, f
     if len({*y[grown]}) < 2:
         return ToxicityModel(words, None, (np.zeros(1), np.zeros(1)), float(y.mean()))
     trees = grow(x[grown], y[grown])
-    knots = isotonic(trees.margin(x[held]), y[held]) if len({*y[held]}) == 2 else isotonic(trees.margin(x), y)
-    return ToxicityModel(words, trees, knots, float(y.mean()))
+    share = float(y.mean())
+    knots = isotonic(trees.margin(x[held]), y[held], share) if len({*y[held]}) == 2 else isotonic(trees.margin(x), y, share)
+    return ToxicityModel(words, trees, knots, share)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, text_column: str = "text", id_column: str = "doc_id") -> ToxicityModel:

@@ -136,6 +136,14 @@ def test_isotonic_is_the_least_squares_fit():
         assert ((fit - y) ** 2).sum() <= ((other - y) ** 2).sum() + 1e-9
 
 
+def test_small_blocks_of_the_calibration_are_held_back():
+    s, y = np.array([1.0, 2, 3, 4, 5, 6, 6, 6, 6, 6, 6, 6, 6, 6]), np.array([0, 0, 0, 0, 1, 0, 1, 1, 1, 1, 1, 1, 1, 1], float)
+    xs, ys = toxicity.isotonic(s, y, 0.1)
+    assert (np.diff(ys) >= 0).all() and np.interp(4, xs, ys) < 0.1 and 0.6 < np.interp(6, xs, ys) < 0.8
+    for n, held in ((1, True), (2, True), (8, False)):
+        assert (np.interp(5, *toxicity.isotonic(np.array([4.0] * 9 + [5.0] * n), np.array([0.0] * 9 + [1.0] * n), 0.1)) < 0.5) == held
+
+
 def plain_toxicity(rows, labels, sample=12_000):
     """The model of ``(id, text)`` rows and ``(id, label)`` pairs."""
     def h(i, text):
