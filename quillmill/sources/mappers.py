@@ -3,7 +3,9 @@
 JSON providers are declared schemas and projections over a ``record`` column of
 JSON text. PubMed and arXiv answer in XML with mixed content, which is read by
 an Arrow function. Every mapper gives the columns of :data:`CORE`; preprint
-servers give :data:`PREPRINT` besides.
+servers give :data:`PREPRINT` besides. Columns that order records
+(``ingest_seq``, ``page``, ``position``) pass through. A malformed XML record
+is a row without an id whose ``error`` says why, and fails nothing.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
 from ..functions.nulls import first_value, has_value
-from ..functions.textops import canonical_doi, clean_text, strip_tags, text_from_positions
+from ..functions.textops import clean_doi, clean_text, strip_tags, text_from_positions
 
 CORE = "paper_id doi title journal publication_date authors sources metadata_status abstract".split()
 PREPRINT = "categories category primary_category published_doi version pdf_url license".split()
+ORDER = ("ingest_seq", "page", "position")
 #: What each preprint server is called, and where its files are.
 SERVERS = {"medrxiv": ("medRxiv", "https://www.medrxiv.org/content/"), "biorxiv": ("bioRxiv", "https://www.biorxiv.org/content/")}
 
@@ -41,7 +44,7 @@ def _parsed(rows: DataFrame, schema: str) -> DataFrame:
 def _paper(rows: DataFrame, source: str, **columns: Column) -> DataFrame:
     doi = columns["doi"]
     columns.setdefault("paper_id", F.when(doi != "", F.concat(F.lit("doi:"), doi)).otherwise(""))
-    keep = [c for c in ("ingest_seq", "page", "position") if c in rows.columns]
+    keep = [c for c in ORDER if c in rows.columns]
     fixed = {"sources": F.lit(source), "metadata_status": F.lit("retrieved")}
     return rows.select(*keep, *(c.alias(n) for n, c in {**columns, **fixed}.items()))
 
@@ -148,6 +151,10 @@ def _children(element, name: str) -> list:
     return [e for e in element.iter() if _local(e) == name]
 
 
+def _term(element) -> dict:
+    return {"id": element.get("UI", ""), "name": _words(element), "is_primary": element.get("MajorTopicYN") == "Y"}
+
+
 def _pubmed_date(article) -> str:
     found = next(iter(_children(article, "PubDate")), None)
     if found is None:
@@ -165,14 +172,15 @@ def pubmed_record(xml: str) -> dict:
     root = ET.fromstring(xml)
     one = lambda name: _words(next(iter(_children(root, name)), None))
     kinds = {e.get("IdType"): (e.text or "").strip() for e in _children(root, "ArticleId")}
-    doi, pmid = canonical_doi(kinds.get("doi") or next((e.text for e in _children(root, "ELocationID") if e.get("EIdType") == "doi"), "")), one("PMID") or kinds.get("pubmed", "")
+    doi = kinds.get("doi") or next((e.text or "" for e in _children(root, "ELocationID") if e.get("EIdType") == "doi"), "")
     people = [_words(next(iter(_children(a, "CollectiveName")), None)) or " ".join(w for w in (_words(a.find("ForeName")) or _words(a.find("Initials")), _words(a.find("LastName"))) if w) for a in _children(root, "Author")]
     parts = [(f"{e.get('Label')}: " if e.get("Label") else "") + _words(e) for e in _children(root, "AbstractText")]
     journals = [_words(j.find(n)) for j in _children(root, "Journal") for n in ("Title", "ISOAbbreviation")]
     return {
-        "paper_id": f"doi:{doi}" if doi else f"pmid:{pmid}" if pmid else "", "doi": doi, "pmid": pmid, "pmcid": kinds.get("pmc", ""), "title": one("ArticleTitle") or one("BookTitle"), "journal": next(filter(None, journals), ""),
+        "doi": doi, "pmid": one("PMID") or kinds.get("pubmed", ""), "pmcid": kinds.get("pmc", ""), "title": one("ArticleTitle") or one("BookTitle"), "journal": next(filter(None, journals), ""),
         "publication_date": _pubmed_date(root), "authors": "; ".join(p for p in people if p), "sources": "pubmed", "metadata_status": "retrieved", "abstract": "\n".join(parts),
-        "mesh": [_words(e) for e in _children(root, "DescriptorName")], "keywords": [_words(e) for e in _children(root, "Keyword")], "publication_types": [_words(e) for e in _children(root, "PublicationType")],
+        "mesh": [_term(e) for e in _children(root, "DescriptorName")], "qualifiers": [_term(e) for e in _children(root, "QualifierName")],
+        "keywords": [_words(e) for e in _children(root, "Keyword")], "publication_types": [_term(e) for e in _children(root, "PublicationType")],
     }
 
 
@@ -182,38 +190,53 @@ def arxiv_record(xml: str) -> dict:
     one = lambda name: _words(next(iter(_children(root, name)), None))
     found = re.search(r"abs/(.+?)(?:v(\d+))?$", one("id"))
     number, version = (found[1], found[2] or "") if found else ("", "")
-    published = canonical_doi(one("doi"))
+    published = one("doi")
     terms = [e.get("term", "") for e in _children(root, "category")]
     primary = next((e.get("term", "") for e in _children(root, "primary_category")), terms[0] if terms else "")
     terms = [primary, *(t for t in terms if t != primary)] if primary else terms
     journal = re.match(r"(.*?)(?=\s[\d(]|$)", one("journal_ref"))
     pdf = next((e.get("href") for e in _children(root, "link") if e.get("title") == "pdf"), f"https://arxiv.org/pdf/{number}" if number else "")
     return {
-        "paper_id": f"doi:{published}" if published else f"arxiv:{number}" if number else "", "doi": published, "arxiv_id": number, "title": one("title"), "journal": (journal[1].strip() if journal and journal[1].strip() else "" if published else "arXiv"),
+        "doi": published, "arxiv_id": number, "title": one("title"), "journal": (journal[1].strip() if journal and journal[1].strip() else "" if published else "arXiv"),
         "publication_date": one("published")[:10], "authors": "; ".join(_words(e) for e in _children(root, "name")), "sources": "arxiv", "metadata_status": "retrieved", "abstract": one("summary"),
         "categories": [{"id": t, "name": t, "is_primary": t == primary} for t in terms], "category": primary, "primary_category": primary, "published_doi": published, "version": version, "pdf_url": pdf, "license": next((e.get("href", "") for e in _children(root, "license")), ""),
     }
 
 
-PUBMED_ROWS = "paper_id string, doi string, pmid string, pmcid string, title string, journal string, publication_date string, authors string, sources string, metadata_status string, abstract string, mesh array<string>, keywords array<string>, publication_types array<string>"
-ARXIV_ROWS = "paper_id string, doi string, arxiv_id string, title string, journal string, publication_date string, authors string, sources string, metadata_status string, abstract string, categories array<struct<id:string,name:string,is_primary:boolean>>, category string, primary_category string, published_doi string, version string, pdf_url string, license string"
+_TERMS = "array<struct<id:string,name:string,is_primary:boolean>>"
+PUBMED_ROWS = f"doi string, pmid string, pmcid string, title string, journal string, publication_date string, authors string, sources string, metadata_status string, abstract string, mesh {_TERMS}, qualifiers {_TERMS}, keywords array<string>, publication_types {_TERMS}"
+ARXIV_ROWS = f"doi string, arxiv_id string, title string, journal string, publication_date string, authors string, sources string, metadata_status string, abstract string, categories {_TERMS}, category string, primary_category string, published_doi string, version string, pdf_url string, license string"
 
 
-def _xml(read: Callable[[str], dict], schema: str) -> Callable[[DataFrame], DataFrame]:
+def _xml(read: Callable[[str], dict], schema: str, number: str, prefix: str) -> Callable[[DataFrame], DataFrame]:
     names = [f.split()[0] for f in re.split(r", (?=\w+ (?:string|array))", schema)]
 
     def mapper(rows: DataFrame) -> DataFrame:
+        keep = [c for c in ORDER if c in rows.columns]
+
         def parse(batches):
             for batch in batches:
-                yield pd.DataFrame([read(x) for x in batch["record"]], columns=names)
-
-        return rows.select("record").where(has_value("record")).mapInPandas(parse, schema)
+                out = []
+                for *order, record in zip(*(batch[c] for c in [*keep, "record"])):
+                    try:
+                        found = {"error": "", **read(record)}
+                    except Exception as e:  # one malformed record leaves the others
+                        found = {"error": f"{type(e).__name__}: {e}"}
+                    out.append([*order, *(found.get(n) for n in names), found["error"]])
+                yield pd.DataFrame(out, columns=[*keep, *names, "error"])
+
+        fields = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keep)
+        parsed = rows.where(has_value("record")).select(*keep, "record").mapInPandas(parse, f"{fields}{schema}, error string")
+        dois = {c: clean_doi(c) for c in ("doi", "published_doi") if c in names}
+        named = F.when(F.col("doi") != "", F.concat(F.lit("doi:"), "doi")).when(has_value(number), F.concat(F.lit(f"{prefix}:"), number)).otherwise("")
+        out = parsed.withColumns(dois).withColumn("paper_id", named)
+        return out.select(*keep, "paper_id", *names, "error")
 
     return mapper
 
 
-pubmed = _xml(pubmed_record, PUBMED_ROWS)
-arxiv = _xml(arxiv_record, ARXIV_ROWS)
+pubmed = _xml(pubmed_record, PUBMED_ROWS, "pmid", "pmid")
+arxiv = _xml(arxiv_record, ARXIV_ROWS, "arxiv_id", "arxiv")
 
 MAPPERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "arxiv": arxiv, "medrxiv": lambda rows: rxiv(rows, "medrxiv"), "biorxiv": lambda rows: rxiv(rows, "biorxiv"), "chemrxiv": chemrxiv, "pubmed": pubmed, "openalex": openalex, "crossref": crossref, "core": core, "elsevier": elsevier,

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from quillmill.functions import identifiers as ids
@@ -18,10 +20,14 @@ def test_blank_is_missing(spark):
 def test_dois(spark):
     assert one(spark, ids.match_doi("a"), a=" DOI:https://doi.org/10.1000/ABC.. ") == "10.1000/abc"
     assert one(spark, ids.match_doi("a"), a=None) == ""
-    assert textops.canonical_doi("https://dx.doi.org/10.1000/a%2Fb?x=1#y") == "10.1000/a/b"
-    assert textops.canonical_doi("doi: 10.1000/(x)).") == "10.1000/(x)"
+    assert one(spark, textops.clean_doi("a"), a="https://dx.doi.org/10.1000/a%2Fb?x=1#y") == "10.1000/a/b"
+    assert one(spark, textops.clean_doi("a"), a="doi: 10.1000/(x)).") == "10.1000/(x)"
+    for raw, bare in ((None, ""), (" ", ""), ("10.1/A+b%", "10.1/a+b%"), ("https://doi.org/10.1/a+b%zz", "10.1/a+b%zz"), ("&lt;10.1/x&gt;", "<10.1/x>"), ("10.1/x&gt;", "10.1/x"), ("10.1/“x”", '10.1/"x'), ("10.1\u200b/x\u2010y.;)", "10.1/x-y"), ("(10.1/x)", "(10.1/x)"), ("DOI : 10.1/[x]]].", "10.1/[x]"), (".", "")):
+        assert one(spark, textops.clean_doi("a"), a=raw) == bare, raw
     text = "See 10.1234/one and doi:10.1234/two, 10.1234/one. Wrap 10.5555/\n three; journal 10.1111/(issn)1234"
-    assert textops.dois_in(text) == ["10.1234/one", "10.1234/two", "10.5555/three"]
+    assert one(spark, textops.extract_dois("a"), a=text) == ["10.1234/one", "10.1234/two", "10.5555/three"]
+    assert one(spark, textops.extract_dois("a"), a="https://doi.org/10.1002/x%28y%29?z, 10.1207/ab&12_3 or 10.1234/Q. 10.1234/q") == ["10.1234/q", "10.1002/x(y)", "10.1207/ab&12_3"]
+    assert one(spark, textops.extract_dois("a"), a=None) == one(spark, textops.extract_dois("a"), a="none here") == []
     assert one(spark, textops.extract_dois("a"), a="x 10.1234/Ab­\ncd.") == ["10.1234/abcd"]
 
 
@@ -63,8 +69,12 @@ def test_texts(spark):
     index = F.create_map(F.lit("b"), F.array(F.lit(1)), F.lit("a"), F.array(F.lit(0), F.lit(2)))
     assert one(spark, textops.text_from_positions(index)) == "a b a"
     assert one(spark, textops.estimated_tokens("a"), a="") == 1 and one(spark, textops.estimated_tokens("a"), a="1234567") == 3
-    assert textops.topic_text("<b>Go</b> &amp; SEE https://x.y/z doi:10.1000/abc ﬁne") == "go & see fine"
-    assert textops.plain_metadata("H<sub>2</sub>O &lt;i&gt;in&lt;/i&gt; “water”") == 'H2O in "water"'
+    assert one(spark, textops.normalize_topic_text("a"), a="<b>Go</b> &amp; SEE https://x.y/z doi:10.1000/abc ﬁne www.x.y STRASSE Straße") == "go & see doi: fine www.x.y strasse strasse"
+    assert one(spark, textops.normalize_metadata("a"), a="H<sub>2</sub>O &lt;i&gt;in&lt;/i&gt; “water”…") == 'H2O in "water"...'
+    assert one(spark, textops.normalize_topic_text("a"), a=None) == one(spark, textops.normalize_metadata("a"), a=None) == ""
+    for text in ("References", "a\n\n  3.1) Literature cited \t\nb", "a\nBIBLIOGRAPHY", "references are in the text\nmore"):
+        expected = re.split(r"(?im)^\s*(?:\d+(?:\.\d+)*[.)]?\s+)?(?:references|bibliography|literature cited)\s*$", text)[0] if "are in" not in text else text
+        assert one(spark, textops.trim_references("a"), a=text).rstrip() == expected.rstrip()
     assert textops.token_budget(100, textops.token_reserve(10)) == 1000
 
 
@@ -82,13 +92,17 @@ def test_json_repair(spark):
     assert textops.json_records('Here: {"a": {"b": 2}} and [{"c": 3}].') == [{"a": {"b": 2}}, {"c": 3}]
     assert textops.json_records('[{"a": 1}, {"b": 2') == [{"a": 1}]
     assert textops.json_records("nothing") is None
+    assert textops.json_records("as in [1], nothing") is None and textops.json_records("```\n[]\n```") == []
+    assert textops.json_records('bad {"a": } but {"b": "x]}{", "c": [1, {"d": "\\""}]} end') == [{"b": "x]}{", "c": [1, {"d": '"'}]}]
+    assert textops.json_records('{"a": "line\none"}') == [{"a": "line\none"}] and textops.json_records('it"s [{"a": 1}') == [{"a": 1}]
+    assert textops.json_records('{"broken": {"a": 1}, oops}') == [{"a": 1}] and textops.json_records("[" * 100_000) is None
     assert one(spark, textops.repair_json("a"), a="x") is None
 
 
 def test_jats_and_nested_abstracts():
     xml = "<article><body><sec><title>One</title><p>A <xref>1</xref>b</p><table-wrap><p>no</p></table-wrap><sec><p>C</p></sec></sec></body></article>"
     assert textops.jats_paragraphs(xml) == "One\n\nA b\n\nC"
-    assert textops.jats_paragraphs("<broken") == ""
+    assert textops.jats_paragraphs("<broken") == "" and textops.jats_paragraphs("<a><body><p>1</p><body><p>2</p></body></body><body><p>3</p></body></a>") == "1\n\n2"
     assert textops.nested_abstract('{"x": [{"dc:description": " An  abstract "}]}') == "An abstract"
     assert textops.nested_abstract("no") == ""
 

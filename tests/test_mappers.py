@@ -45,3 +45,11 @@ def test_values(papers):
     assert (r["elsevier"]["elsevier_link"], r["elsevier"]["doi"]) == ("f", "10.5555/e")
     assert (r["pubmed"]["title"], r["pubmed"]["publication_date"], r["pubmed"]["authors"], r["pubmed"]["abstract"], r["pubmed"]["journal"]) == ("On E. coli growth", "2031-02-03", "Rita Roe; The Group", "AIM: To see.", "J")
     assert (r["arxiv"]["arxiv_id"], r["arxiv"]["version"], r["arxiv"]["title"], r["arxiv"]["category"]) == ("3101.00001", "4", "A preprint", "cs.DB")
+
+
+@pytest.mark.parametrize("name", ["pubmed", "arxiv"])
+def test_malformed_records_and_order(spark, name):
+    rows = spark.createDataFrame([(7, RECORDS[name]), (8, "<broken"), (9, None)], "ingest_seq long, record string")
+    got = {r["ingest_seq"]: r for r in mappers.MAPPERS[name](rows).collect()}
+    assert set(got) == {7, 8} and got[7]["error"] == "" and got[8]["error"].startswith("ParseError") and got[8]["paper_id"] == ""
+    assert got[7]["paper_id"] == {"pubmed": "doi:10.5555/pm", "arxiv": "arxiv:3101.00001"}[name]

@@ -52,3 +52,11 @@ def test_ingest_resumes(spark, tmp_path):
 def test_windowed_counts(spark):
     rows = spark.createDataFrame([("2024-01-01 10:00:00", "x"), ("2024-01-01 23:00:00", "x"), ("2024-01-02 00:00:00", "y")], "t string, event_type string").withColumn("ts", F.to_timestamp("t"))
     assert sorted(r["n"] for r in resume.windowed_counts(rows).collect()) == [1, 2]
+
+
+def test_doi_candidates_by_key(spark):
+    """Preferred keys first, the journal's own DOI never, then the text's."""
+    info = {"/Note": "10.1234/note", "/JournalDOI": "10.1234/journal", "/doi": "see doi:10.1234/own", "/Subject": "10.1234/subject and 10.1234/own"}
+    rows = spark.createDataFrame([("a", info, "10.1234/text 10.1234/text 10.1234/note"), ("b", None, None), ("c", {}, "10.1234/x")], "path string, info map<string,string>, full_text string")
+    got = {r["path"]: r["candidates"] for r in files.doi_candidates(rows).collect()}
+    assert got["a"] == ["10.1234/own", "10.1234/subject", "10.1234/note", "10.1234/text"] and got["b"] == [] and got["c"] == ["10.1234/x"]
