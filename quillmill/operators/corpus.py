@@ -95,6 +95,13 @@ def blobs(contents: DataFrame, content: str = "content") -> DataFrame:
     return picked.select("sha256", F.concat(F.lit("blob:"), "sha256").alias("blob_id"), F.octet_length("content").alias("original_size"), "content")
 
 
+def blob_summary(contents: DataFrame, content: str = "content", key: str = "paper_id") -> DataFrame:
+    """One row per distinct content, without it: ``sha256, blob_id, original_size``, how many rows have it, and the first key."""
+    keyed = contents.where(F.col(content).isNotNull()).select(F.sha2(F.col(content), 256).alias("sha256"), F.octet_length(content).cast("long").alias("n"), F.col(key).alias("key"))
+    out = keyed.groupBy("sha256").agg(F.max("n").alias("original_size"), F.count("*").alias("papers"), F.min("key").alias("first"))
+    return out.select("sha256", F.concat(F.lit("blob:"), "sha256").alias("blob_id"), "original_size", "papers", F.col("first").alias(f"first_{key}"))
+
+
 def compressed(stored: DataFrame, content: str = "content", level: int = 6) -> DataFrame:
     """Add ``stored`` (gzip) and ``stored_size``; the built-ins have no gzip."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields)
@@ -124,6 +131,15 @@ def latest_assets(assets: DataFrame, keys: tuple[str, ...] = ("paper_id", "role"
     return assets.withColumn("__n", newest).where("__n = 1").drop("__n")
 
 
+def get_asset(assets: DataFrame, stored: DataFrame, paper: str, role: str, source: str | None = None) -> DataFrame:
+    """The newest asset of one paper and role (and source), with its content; no row if there is none."""
+    own = assets.where((F.col("paper_id") == paper) & (F.col("role") == role))
+    if source is not None:
+        own = own.where(F.col("source") == source)
+    newest = own.orderBy(F.desc("created_at"), F.desc("asset_seq")).limit(1)
+    return newest.join(stored.select("blob_id", "sha256", "original_size", "content"), "blob_id")
+
+
 def corpus_stats(assets: DataFrame, stored: DataFrame) -> DataFrame:
     """Papers with an asset, distinct papers per role, blobs, and their sizes, in one row."""
     roles = ("abstract", "text", "pdf")
@@ -141,6 +157,37 @@ def status_counts(rows: DataFrame, column: str, states: tuple[str, ...]) -> Data
     return known.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def set_enrichment_status(papers: DataFrame, changed: DataFrame, key: str = "paper_id") -> DataFrame:
+    """``papers`` with the statuses of ``changed (key, enrichment_status)``; a status that isn't one fails the job."""
+    states = F.array(*map(F.lit, ENRICHMENT_STATES))
+    new = F.when(F.array_contains(states, F.col("enrichment_status")), F.col("enrichment_status")).otherwise(F.raise_error(F.concat(F.lit("not an enrichment status: "), F.coalesce("enrichment_status", F.lit("null")))))
+    found = changed.select(key, new.alias("__new"))
+    return papers.join(found, key, "left").withColumn("enrichment_status", F.coalesce("__new", "enrichment_status")).drop("__new")
+
+
+def pipeline_status(papers: DataFrame) -> DataFrame:
+    """Papers, those with each kind of content and of finished work, and the sums of extracted records, in one row."""
+    has = {"with_doi": has_value("doi"), **{f"with_{k}": F.col(f"{k}_status") == "succeeded" for k in ("abstract", "text", "pdf", "image")}}
+    done = {f"{k}_scraped": F.col(f"{k}_scrape_status") == "succeeded" for k in ("abstract", "text", "image")}
+    failed = any_of([F.col(c) == "failed" for c in STATUSES if c in papers.columns])
+    counts = {**has, **done, "enriched": F.col("enrichment_status").isin("succeeded", "partial"), "failed": failed}
+    sums = [F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)).alias(c) for c in ("num_text_materials", "num_abstract_materials")]
+    return papers.agg(F.count("*").alias("papers"), *(F.count_if(c).alias(n) for n, c in counts.items()), *sums)
+
+
+def run_summary(results: DataFrame, status: str = "status", states: tuple[str, ...] = ("succeeded", "failed")) -> DataFrame:
+    """How many items a run left in each state, those of no item too."""
+    return status_counts(results, status, states)
+
+
+def children(rows: DataFrame, paper: str, order: str = "position", **only: str) -> DataFrame:
+    """One paper's rows of a child table, some of them (by ``scheme`` or ``source``), in order."""
+    own = rows.where(F.col("paper_id") == paper)
+    for column, value in only.items():
+        own = own.where(F.col(column) == value)
+    return own.orderBy(order)
+
+
 def enrichment_candidates(papers: DataFrame, states: list[str], *, after: int = 0, limit: int = 100, refreshed_before: str = "", seq: str = "ingest_seq") -> DataFrame:
     """The next rows in order of arrival that have one of the states, or are stale successes."""
     wanted = F.col("enrichment_status").isin(states)

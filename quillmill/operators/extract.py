@@ -189,12 +189,53 @@ def store_results(stored: DataFrame | None, results: list[DataFrame], recipe: Re
     return out.dropDuplicates()
 
 
-def write_atomically(rows: DataFrame, path: str, fmt: str = "parquet", **options: str) -> None:
-    """Write beside ``path``, then swap; readers see the old table or the new one."""
+def _file_system(spark, path: str):
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return Path, Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_swapped(rows: DataFrame, path: str, fmt: str = "parquet", **options: str) -> None:
+    """Write beside ``path``, move the old table aside, move the new one in, then delete the old one.
+
+    The old table is whole until the new one is. A crash between the two moves
+    leaves no table at ``path``, but both beside it; :func:`recover_swap`, which
+    this function calls first, puts the old one back.
+    """
     spark = rows.sparkSession
-    rows.write.format(fmt).options(**options).mode("overwrite").save(f"{path}.new")
-    jvm = spark.sparkContext._jvm
-    new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    recover_swap(spark, path)
+    Path, fs = _file_system(spark, path)
+    fs.delete(Path(f"{path}.new"), True)
+    rows.write.format(fmt).options(**options).save(f"{path}.new")
+    old = fs.exists(Path(path))
+    if old and not fs.rename(Path(path), Path(f"{path}.old")):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(Path(f"{path}.new"), Path(path)):
+        if old:
+            fs.rename(Path(f"{path}.old"), Path(path))
+        raise OSError(f"{path}.new can't be moved")
+    fs.delete(Path(f"{path}.old"), True)
+
+
+def recover_swap(spark, path: str) -> None:
+    """After a crash within :func:`write_swapped`: the old table back in place, or deleted where the new one is."""
+    Path, fs = _file_system(spark, path)
+    if fs.exists(Path(f"{path}.old")):
+        if fs.exists(Path(path)):
+            fs.delete(Path(f"{path}.old"), True)
+        else:
+            fs.rename(Path(f"{path}.old"), Path(path))
+
+
+def append_csv(rows: DataFrame, path: str) -> None:
+    """Append records to a CSV table; columns are those of both, missing values empty."""
+    spark = rows.sparkSession
+    Path, fs = _file_system(spark, path)
+    recover_swap(spark, path)
+    both = read_csv(spark, path).unionByName(rows.select([F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns]), allowMissingColumns=True) if fs.exists(Path(path)) else rows
+    write_swapped(both, path, "csv", header="true", escape='"', multiLine="true")
+
+
+def read_csv(spark, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV table with a header and quoted line breaks; all columns are texts without a schema."""
+    reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
+    return (reader.schema(schema) if schema else reader).csv(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import orcid
 from ..functions.nulls import all_of, any_of, has_value
-from ..functions.textops import clean_text
+from ..functions.textops import clean_text, decompose_all
 
 _SCOPES = ("category", "from", "to")
 _PART = re.compile(r'(?:(category|from|to):)?(?:"([^"]*)"|(\S+))', re.IGNORECASE)
@@ -84,17 +85,21 @@ def author_matches(authors: Column, family: str, given: str = "", own_orcid: str
     and the given names equal, or equal by initials when either is one; an
     affiliation must occur in one of the author's.
     """
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.translate(F.coalesce(c, F.lit("")), "áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC")), r"[^a-z]+", " "))
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\p{M}+", "")), r"(?U)[^\p{L}\p{N}]+", " "))
     initials = lambda c: F.array_join(F.transform(F.split(c, " "), lambda w: F.left(w, F.lit(1))), "")
-    wanted_family, wanted_given = plain(F.lit(family)), plain(F.lit(given))
+    wanted_family, wanted_given, wanted_place = (plain(F.lit(unicodedata.normalize("NFKD", v))) for v in (family, given, affiliation))
+    # names are decomposed as whole arrays, before the comparison of each author
+    given_names, families = F.transform(authors, lambda a: F.coalesce(a["given"], F.lit(""))), F.transform(authors, lambda a: F.coalesce(a["family"], F.lit("")))
+    places = decompose_all(F.transform(authors, lambda a: F.array_join(F.transform(F.coalesce(a["affiliation"], F.array()), lambda f: F.coalesce(f["name"], F.lit(""))), "\n")))
+    people = F.arrays_zip(decompose_all(given_names).alias("given"), decompose_all(families).alias("family"), places.alias("places"), F.transform(authors, lambda a: a["ORCID"]).alias("orcid"))
 
     def same(a: Column) -> Column:
         theirs = plain(a["given"])
         short = any_of([F.exists(F.split(g, " "), lambda w: F.length(w) == 1) for g in (theirs, wanted_given)])
         by_name = (plain(a["family"]) == wanted_family) & ((wanted_given == "") | (theirs == wanted_given) | (short & initials(theirs).startswith(F.left(initials(wanted_given), F.length(initials(theirs)))) & (theirs != "")))
         if affiliation:
-            by_name = by_name & F.exists(F.coalesce(a["affiliation"], F.array()), lambda f: F.contains(plain(f["name"]), plain(F.lit(affiliation))))
-        known = orcid(a["ORCID"])
+            by_name = by_name & F.exists(F.split(a["places"], "\n"), lambda place: F.contains(plain(place), wanted_place))
+        known = orcid(a["orcid"])
         return F.when((known != "") & (orcid(F.lit(own_orcid)) != ""), known == orcid(F.lit(own_orcid))).otherwise(by_name)
 
-    return F.exists(authors, same)
+    return F.exists(people, same)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+import unicodedata
 from functools import reduce
 
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import publication_year
 from ..functions.nulls import as_column, nz
+from ..plans.storage import written
 
 #: Common English words that are never features.
 STOPWORDS = frozenset("""a about above after again against all am an and any are as at be because been before being below between both but by can cannot could did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself yourselves""".split())
@@ -26,8 +29,8 @@ def topic_document(fields: dict[str, Column]) -> Column:
 
 def word_runs(text: Column | str) -> Column:
     """Maximal runs of Unicode letters, digits and marks that are a plain word: ``[a-z][a-z0-9]+``."""
-    runs = F.regexp_extract_all(as_column(text), F.lit(r"([\p{L}\p{N}\p{M}_]+)"), F.lit(1))
-    return F.filter(runs, lambda t: t.rlike("^[a-z][a-z0-9]+$"))
+    inside = r"[\p{L}\p{N}\p{M}_]"
+    return F.regexp_extract_all(as_column(text), F.lit(rf"((?<!{inside})[a-z][a-z0-9]++(?!{inside}))"), F.lit(1))
 
 
 def features(text: Column | str, domain: tuple[str, ...] = (), *, bigrams: bool = True, stopwords: frozenset[str] = STOPWORDS) -> Column:
@@ -35,30 +38,41 @@ def features(text: Column | str, domain: tuple[str, ...] = (), *, bigrams: bool
 
     Domain words are left out alone; pairs are left out if both are domain words.
     """
-    stop = F.array(*(F.lit(w) for w in sorted(stopwords)))
-    own = F.array(*(F.lit(w) for w in sorted(domain))) if domain else F.array().cast("array<string>")
+    stop, own = sorted(stopwords) or [""], sorted(domain) or [""]
 
     def of(segment: Column) -> Column:
-        tokens = F.filter(word_runs(segment), lambda t: ~F.array_contains(stop, t))
-        single = F.filter(tokens, lambda t: ~F.array_contains(own, t))
+        tokens = F.filter(word_runs(segment), lambda t: ~t.isin(stop))
+        single = F.filter(tokens, lambda t: ~t.isin(own)) if domain else tokens
         if not bigrams:
             return single
-        pairs = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.when(b.isNotNull() & ~(F.array_contains(own, a) & F.array_contains(own, b)), F.concat(a, F.lit("_"), b)))
+        pairs = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.when(b.isNotNull() & ~(a.isin(own) & b.isin(own)), F.concat(a, F.lit("_"), b)))
         return F.concat(single, F.array_compact(pairs))
 
+    if not bigrams:  # without pairs, segments make no difference
+        return of(as_column(text))
     return F.flatten(F.transform(F.split(as_column(text), r"[.!?;:\n]+"), of))
 
 
+def load_domain_stopwords(lines: list[str]) -> tuple[str, ...]:
+    """Words of a file, one a line, case-folded, without comments (``#``) and repeats, in order."""
+    words = (unicodedata.normalize("NFKC", line.split("#")[0]).casefold().strip() for line in lines)
+    return tuple(sorted({w for w in words if w}))
+
+
 def vocabulary(tokens: DataFrame, *, min_df: int = 2, max_df: float = 0.95, max_features: int = 20_000, doc: str = "paper_id", column: str = "tokens") -> DataFrame:
     """``term, tf, df`` of the most frequent terms; ids follow the terms' alphabetical order.
 
-    Counts are combined per document, so a document sends each term once.
+    One pass over the tokens: every document sends its tokens, its distinct
+    tokens, and itself under a null term; partial sums by term leave a task.
     """
-    usable = tokens.where(F.size(column) > 0)
-    n = usable.count()
-    per_doc = usable.select(doc, F.explode(column).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("n"))
-    terms = per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
-    kept = terms.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("tf"), "term").limit(max_features)
+    every = F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    once = F.transform(F.array_distinct(column), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    sent = tokens.where(F.size(column) > 0).select(F.explode(F.concat(every, once, own)).alias("r")).select("r.*")
+    terms = written(sent.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")), "terms")
+    found = terms.where("term is null").first()
+    n = found["df"] if found else 0
+    kept = terms.where(F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("tf"), "term").limit(max_features)
     return kept.withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1)  # at most max_features rows
 
 
@@ -119,6 +133,37 @@ def predict(model: LDAModel, vectors: DataFrame) -> DataFrame:
     return rows.withColumn("distribution", F.when(known, F.col("distribution"))).withColumn("dominant_topic", dominant(F.col("distribution")))
 
 
+def evaluate(model: LDAModel, vectors: DataFrame, sample: int | None = None, key: str = "paper_id") -> dict:
+    """Log-likelihood bound and perplexity of the documents, or of a hash sample of at most ``sample`` of them."""
+    rows, scope = (vectors, "complete") if sample is None else (hash_sample(vectors, sample, key), "sample")
+    rows = rows.select("counts", F.col("counts").alias("features"))  # whichever of both names the model was made for
+    return {"metrics_scope": scope, "log_likelihood": model.logLikelihood(rows), "perplexity": math.exp(model.logPerplexity(rows))}
+
+
+def store_scores(stored: DataFrame | None, predictions: DataFrame, model: str, name: str, key: str = "paper_id") -> DataFrame:
+    """Long scores ``model_id, model_name, key, topic_id, probability, is_dominant, status``, those of one model replaced.
+
+    A name stands for one model and a model has one name; anything else fails
+    before a row is written. Documents without scores keep a row, with their
+    status. Write the result with ``write_swapped``.
+    """
+    if stored is not None:
+        clash = stored.where(((F.col("model_name") == name) & (F.col("model_id") != model)) | ((F.col("model_id") == model) & (F.col("model_name") != name))).select("model_id", "model_name").limit(1).collect()
+        if clash:
+            raise ValueError(f"{name} and {model} are taken by {clash[0]['model_name']} and {clash[0]['model_id']}")
+    each = predictions.select(key, F.col("prediction_status").alias("status"), "dominant_topic", F.posexplode_outer("distribution").alias("topic_id", "probability"))
+    fresh = each.select(F.lit(model).alias("model_id"), F.lit(name).alias("model_name"), key, "topic_id", "probability", (F.col("topic_id") == F.col("dominant_topic")).alias("is_dominant"), "status")
+    return fresh if stored is None else stored.where(F.col("model_id") != model).unionByName(fresh)
+
+
+def name_topics(scores: DataFrame, names: dict[int, str]) -> DataFrame:
+    """Add ``topic_name``: the given names, ``topic_<n>`` for the others."""
+    if len(set(names.values())) < len(names) or not all(n.strip() for n in names.values()):
+        raise ValueError("topic names must differ and not be blank")
+    known = F.create_map(*(x for t, n in sorted(names.items()) for x in (F.lit(t), F.lit(n)))) if names else F.create_map().cast("map<int,string>")
+    return scores.withColumn("topic_name", F.coalesce(F.element_at(known, F.col("topic_id")), F.concat(F.lit("topic_"), F.col("topic_id").cast("string"))))
+
+
 def dominant(distribution: Column) -> Column:
     """The first position of the largest value, from 0; null without values."""
     return (F.array_position(distribution, F.array_max(distribution)) - 1).cast("int")
@@ -155,10 +200,8 @@ def diversity(top_terms: DataFrame, column: str = "term") -> DataFrame:
 
 def top_terms(model: LDAModel, terms: list[str], n: int = 10) -> DataFrame:
     """``topic_id, rank, term, weight``."""
-    spark = model.describeTopics(1).sparkSession
     names = F.array(*(F.lit(t) for t in sorted(terms)))
     rows = model.describeTopics(n).select(F.col("topic").alias("topic_id"), F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    assert spark is not None
     return rows.select("topic_id", (F.col("rank") + 1).alias("rank"), F.element_at(names, F.col("t.termIndices") + 1).alias("term"), F.col("t.termWeights").alias("weight"))
 
 

@@ -96,11 +96,10 @@ def token_budgets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tokens.alias("n_tokens"), F.round(textops.compression_ratio(tokens, 1000), 9).alias("ratio"))
 
 
-@query("""SELECT doc_id, len(list_distinct(string_split(lower(text), ' '))) AS words,
- text AS rebuilt FROM documents WHERE text NOT LIKE '%  %'""")
+@query("""SELECT doc_id, len(list_distinct(string_split(lower(text), ' '))) AS words, text AS rebuilt FROM documents WHERE text IS NOT NULL""")
 def rebuilt_abstracts(spark, sf_dir):
-    words = F.split(F.col("text"), " ")
-    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("  "))).select("doc_id", "text", words.alias("w"))
+    # repeated blanks are empty words, which have places of their own
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("w"))
     # positions by word, as an inverted index gives them, put back in order
     pairs = docs.select("doc_id", F.posexplode("w").alias("p", "word")).groupBy("doc_id", "word").agg(F.collect_list("p").alias("ps"))
     index = pairs.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "ps"))).alias("index"), F.countDistinct(F.lower("word")).alias("words"))
@@ -113,11 +112,8 @@ def rebuilt_abstracts(spark, sf_dir):
 @query("""SELECT sha256(text) AS sha256, 'blob:' || sha256(text) AS blob_id, cast(max(strlen(text)) AS BIGINT) AS original_size, count(*) AS papers, min(doc_id) AS first_doc
  FROM documents WHERE text IS NOT NULL GROUP BY text""")
 def blob_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("sha256", F.sha2("text", 256))
-    links = docs.where("text is not null").groupBy("sha256").agg(F.count("*").alias("papers"), F.min("doc_id").alias("first_doc"))
-    # the sizes need no second copy of the texts: equal hashes have equal sizes
-    sizes = docs.where("text is not null").groupBy("sha256").agg(F.max(F.octet_length("text")).cast("long").alias("original_size"))
-    return links.join(sizes, "sha256").select("sha256", F.concat(F.lit("blob:"), "sha256").alias("blob_id"), "original_size", "papers", "first_doc")
+    found = corpus.blob_summary(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return found.withColumnRenamed("first_doc_id", "first_doc")
 
 
 @query("""SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS papers, (SELECT count(*) FROM conversations) AS assets,
@@ -240,20 +236,23 @@ def version_collapse(spark, sf_dir):
     return found.select(F.col("k").cast("long").alias("user_id"), "event_type", "value", "publication_date")
 
 
-@query("""SELECT o_orderkey, coalesce(cast(c_custkey AS VARCHAR), '') AS referenced_paper_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 3 = 0""")
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN coalesce(cast(c_custkey AS VARCHAR), '') ELSE '' END AS referenced_paper_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
 def reference_link(spark, sf_dir):
+    """Every order cites a customer; one customer in three is known by its DOI, the others have none."""
     doi = lambda c: F.concat(F.lit("10.1000/c"), F.col(c).cast("string"))
     refs = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("https://doi.org/"), doi("o_custkey")).alias("referenced_doi"))
-    known = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("paper_id"), F.col("c_custkey").alias("ingest_seq"), F.upper(doi("c_custkey")).alias("doi"))
+    own = F.when(F.col("c_custkey") % 3 == 0, F.upper(doi("c_custkey"))).otherwise("")
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("paper_id"), F.col("c_custkey").alias("ingest_seq"), own.alias("doi"))
     return resolve.link_references(refs, known).select("o_orderkey", "referenced_paper_id")
 
 
-@query("""SELECT coalesce(o.k, n.k) AS paper_id, coalesce(n.title, o.title) AS title, o.created_at FROM (SELECT p_partkey AS k, p_name AS title, 'old' AS created_at FROM part WHERE p_partkey % 3 > 0) o
- FULL JOIN (SELECT p_partkey AS k, p_brand AS title FROM part WHERE p_partkey % 2 = 0) n ON o.k = n.k""")
+@query("""SELECT p_partkey + k * 10000000 AS paper_id, CASE WHEN k = 0 OR (k = 1 AND p_partkey % 2 = 0) THEN p_brand ELSE p_name END AS title, CASE WHEN k = 0 AND p_partkey % 2 = 1 THEN NULL ELSE 'old' END AS created_at FROM part, range(2) r(k)""")
 def upsert(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    old = part.where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"), F.lit("old").alias("created_at"))
-    return corpus.upsert_papers(old, part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("paper_id"), F.col("p_brand").alias("title")))
+    """All parts are stored and all come in: even ones under their own number again, odd ones under a new number."""
+    part, odd = table(spark, sf_dir, "part"), F.col("p_partkey") % 2 == 1
+    each = part.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("paper_id", F.col("p_partkey") + F.col("k") * 10_000_000)
+    stored = each.where(~odd | (F.col("k") == 1)).select("paper_id", F.col("p_name").alias("title"), F.lit("old").alias("created_at"))
+    return corpus.upsert_papers(stored, each.where(~odd | (F.col("k") == 0)).select("paper_id", F.col("p_brand").alias("title")))
 
 
 @query("""SELECT l_orderkey, l_linenumber, tag FROM (SELECT l_orderkey, l_linenumber, 'old' AS tag FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 2 = 0 AND l_linenumber <= 2) UNION ALL SELECT l_orderkey, l_linenumber, 'new' FROM lineitem WHERE l_orderkey % 2 = 0 AND l_linenumber <= 2)""")
@@ -398,7 +397,7 @@ def lda_topics(spark, sf_dir):
 
     The vocabulary and the passes are the operators' defaults: 20,000 terms, 20 complete passes.
     """
-    docs = tokens(spark, sf_dir).select("doc_id", "tokens")
+    docs = written(tokens(spark, sf_dir).select("doc_id", "tokens"), "tokens")
     terms = [r["term"] for r in topics.vocabulary(docs, doc="doc_id").select("term").collect()]
     vectors = written(topics.vectorize(docs, terms).select("doc_id", "counts"), "vectors")  # read by every pass
     return topics.scores(topics.predict(topics.train_lda(vectors, 4, seed=1), vectors), "doc_id")

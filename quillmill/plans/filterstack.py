@@ -10,18 +10,21 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import all_of, any_of, has_value
+from ..functions.textops import trim_references
 
 #: Fields that a regex filter can read, and its evidence caps.
 FIELDS = ("title", "abstract", "full_text")
 MAX_MATCHES, MAX_SNIPPETS = 1000, 3
 _NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]*")
+#: A repeated group that repeats or branches within, or a reference back: a backtracking matcher may take exponential time.
+_BACKTRACKS = re.compile(r"\((?:[^()\\]|\\.)*[+*}|](?:[^()\\]|\\.)*\)[+*{]|\\[1-9]|\(\?P=")
 
 
 def _check(ok: object, message: str) -> None:
@@ -78,14 +81,63 @@ class RegexFilter:
         """Whether any present field matches; never null."""
         return any_of([F.coalesce(F.col(f).rlike(self.java(rule)), F.lit(False)) for f in self.fields])
 
+    @property
+    def backtracks(self) -> bool:
+        """Whether a pattern has a form on which matching may not end in time."""
+        return any(_BACKTRACKS.search(r.pattern) for r in self.include + self.exclude)
+
     def status(self) -> Column:
-        """True, false or null: included, excluded, unavailable."""
+        """True, false or null: included, excluded, unavailable.
+
+        Patterns that may backtrack without end are matched under the time
+        limit (:meth:`bounded_status`), all others within the plan.
+        """
+        if self.backtracks:
+            return self.bounded_status()
         vetoed = any_of([self.matched(r) for r in self.exclude])
         includes = [self.matched(r) for r in self.include]
         wanted = any_of(includes) if self.include_mode == "any" else all_of(includes)
         missing = any_of([~has_value(f) for f in self.fields])
         return F.when(vetoed, F.lit(False)).when(wanted, F.lit(True)).when(missing, F.lit(None).cast("boolean")).otherwise(F.lit(False))
 
+    def bounded_status(self) -> Column:
+        """:meth:`status` by the ``regex`` engine, which gives a pattern up after ``timeout_ms`` in a field.
+
+        A paper is unavailable if a pattern was given up, unless what did match
+        decides it: an exclusion, or all that the inclusion needs.
+        """
+        import pyarrow as pa
+
+        rules, insensitive, limit, mode = {"include": [r.pattern for r in self.include], "exclude": [r.pattern for r in self.exclude]}, not self.case_sensitive, self.timeout_ms / 1000, self.include_mode
+
+        def judge(values: pa.Array) -> pa.Array:
+            import regex
+
+            compiled = {kind: [regex.compile(p, regex.V1 | (regex.IGNORECASE if insensitive else 0)) for p in found] for kind, found in rules.items()}
+
+            def of(texts: list) -> bool | None:
+                late = any(not (t or "").strip() for t in texts)
+
+                def hit(pattern) -> bool:
+                    nonlocal late
+                    for text in texts:
+                        try:
+                            if text and pattern.search(text, timeout=limit):
+                                return True
+                        except TimeoutError:
+                            late = True
+                    return False
+
+                if any([hit(p) for p in compiled["exclude"]]):
+                    return False
+                found = [hit(p) for p in compiled["include"]]
+                return True if (any if mode == "any" else all)(found) else None if late else False
+
+            return pa.array([of(texts) for texts in values.to_pylist()], pa.bool_())
+
+        judge.__annotations__ = {"values": pa.Array, "return": pa.Array}
+        return F.arrow_udf(judge, "boolean")(F.array(*(F.col(f).cast("string") for f in self.fields)))
+
     def counts(self) -> list[Column]:
         """Matches per rule and field, up to the cap, as ``<rule>__<field>``."""
         return [F.least(F.regexp_count(F.coalesce(F.col(f), F.lit("")), F.lit(self.java(r))), F.lit(MAX_MATCHES)).alias(f"{r.name}__{f}") for r in self.include + self.exclude for f in self.fields]
@@ -244,12 +296,56 @@ class FilterStack:
         return joined.withColumn("final_status", status_name(self.fold(lambda s: status_value(F.col(f"`{s.filter.name}`")))))
 
 
+    def apply_stored(self, added: RegexFilter | TopicFilter, papers: DataFrame, results: DataFrame | None, op: str | None = None, *, override: bool = False, key: str = "paper_id") -> tuple[FilterStack, DataFrame]:
+        """The stack with a filter and its results ``(filter, paper_id, status)`` stored beside those of the others."""
+        stack = self.apply(added, op, override=override)
+        fresh = papers.select(F.lit(added.name).alias("filter"), F.col(key).alias("paper_id"), status_name(added.status()).alias("status"))
+        return stack, fresh if results is None else results.where(F.col("filter") != added.name).unionByName(fresh)
+
+    def reset_stored(self, results: DataFrame, name: str | None = None) -> tuple[FilterStack, DataFrame]:
+        """Without one filter and its results, or without any."""
+        return self.reset(name), results.where(F.lit(False)) if name is None else results.where(F.col("filter") != name)
+
+    def refresh_topics(self, papers: DataFrame, results: DataFrame, model: str, key: str = "paper_id") -> DataFrame:
+        """Results with those of the topic filters of ``model`` computed again, from ``papers`` with its new scores."""
+        ours = [s.filter for s in self.steps if isinstance(s.filter, TopicFilter) and s.filter.model == model]
+        out = results.where(~F.col("filter").isin([f.name for f in ours])) if ours else results
+        for f in ours:
+            out = out.unionByName(papers.select(F.lit(f.name).alias("filter"), F.col(key).alias("paper_id"), status_name(f.status()).alias("status")))
+        return out
+
+    def to_json(self) -> str:
+        """The definition of the stack, which :meth:`from_json` reads."""
+        return json.dumps([{"kind": "regex" if isinstance(s.filter, RegexFilter) else "topic", "op": s.op, "filter": asdict(s.filter)} for s in self.steps], ensure_ascii=False)
+
+    @classmethod
+    def from_json(cls, text: str) -> FilterStack:
+        steps = []
+        for raw in json.loads(text):
+            kind, rule = (RegexFilter, Pattern) if raw["kind"] == "regex" else (TopicFilter, TopicRule)
+            fields = {k: tuple(rule(**r) for r in v) if k in ("include", "exclude") else tuple(v) if isinstance(v, list) else v for k, v in raw["filter"].items()}
+            steps.append(Step(kind(**fields), raw["op"]))
+        return cls(tuple(steps))
+
+
 def overview(evaluated: DataFrame, names: list[str]) -> DataFrame:
     """``filter, included, excluded, unavailable`` for each filter and the final status, in one pass."""
     rows = evaluated.select(F.explode(F.array(*(F.struct(F.lit(n).alias("filter"), F.col(f"`{n}`").alias("status")) for n in [*names, "final_status"]))).alias("r")).select("r.*")
     return rows.groupBy("filter").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("included", "excluded", "unavailable")))
 
 
+def paper_content(papers: DataFrame, assets: DataFrame, key: str = "paper_id") -> DataFrame:
+    """Add ``abstract``, ``full_text`` (the text asset without its references, else the PDF's text) and ``unavailable``, the fields that are missing.
+
+    ``assets`` has one row per paper and role, with ``content`` as text.
+    """
+    wide = assets.groupBy(key).pivot("role", ["abstract", "text", "pdf"]).agg(F.first("content"))
+    both = papers.drop("abstract", "full_text").join(wide.withColumnRenamed("abstract", "__abstract"), key, "left")
+    whole = F.when(has_value("text"), trim_references("text")).otherwise(F.coalesce("pdf", F.lit("")))
+    both = both.withColumn("abstract", F.coalesce("__abstract", F.lit(""))).withColumn("full_text", whole).drop("__abstract", "text", "pdf")
+    return both.withColumn("unavailable", F.array_compact(F.array(*(F.when(~has_value(f), F.lit(f)) for f in FIELDS))))
+
+
 def gate(papers: DataFrame, evaluated: DataFrame, *, ignore_filters: bool = False) -> DataFrame:
     """Papers whose final status is included."""
     return papers if ignore_filters else papers.join(evaluated.where("final_status = 'included'").select("paper_id"), "paper_id", "left_semi")

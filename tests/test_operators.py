@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quillmill.operators import corpus, download, enrich, extract, resolve, search, topics
 from quillmill.operators import graph
 from quillmill.operators.graph import components
-from quillmill.plans.filterstack import FilterStack, Pattern, RegexFilter, TopicFilter, TopicRule, combine, current, fingerprint, gate, status_name, status_value
+from quillmill.plans.filterstack import FilterStack, Pattern, RegexFilter, TopicFilter, TopicRule, combine, current, fingerprint, gate, paper_content, status_name, status_value
 from quillmill.sources import registry
 
 
@@ -219,8 +219,8 @@ def test_store_and_units(spark, tmp_path):
     a = spark.createDataFrame([("Si", "1.1")], "compound string, `gap eV` string")
     out = extract.store_results(a.select(F.col("compound").alias("material"), F.col("gap eV").alias("gap")), [a, a], recipe)
     assert [tuple(r) for r in out.collect()] == [("Si", "1.1")]
-    extract.write_atomically(out, f"{tmp_path}/t")
-    extract.write_atomically(out.limit(0), f"{tmp_path}/t")
+    extract.write_swapped(out, f"{tmp_path}/t")
+    extract.write_swapped(out.limit(0), f"{tmp_path}/t")
     assert spark.read.schema(out.schema).parquet(f"{tmp_path}/t").count() == 0
     row = spark.range(1).select(extract.convert_units(F.lit("25.0"), F.lit("C"), "K").alias("k"), extract.convert_units(F.lit("n/a"), F.lit("C"), "K").alias("n"), extract.convert_units(F.lit("1"), F.lit("??"), "K").alias("u")).first()
     assert row["k"] == 298.15 and row["n"] is None and row["u"] is None
@@ -273,3 +273,110 @@ def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
     edges = spark.createDataFrame([(k, k + 1) for k in range(n - 1)], "a long, b long")
     got = components(edges).collect()
     assert len(got) == n and {r["component"] for r in got} == {0} and tables.count("step") <= 15
+
+
+def test_names_with_any_accent(spark):
+    people = [("Karel", "Čapek", None, []), ("Paul", "Erdős", None, [("Magyar Tudományos Akadémia",)])]
+    rows = spark.createDataFrame([(people,), (None,)], "authors array<struct<given:string,family:string,ORCID:string,affiliation:array<struct<name:string>>>>")
+    hit = lambda *a, **k: [r["x"] for r in rows.select(search.author_matches(F.col("authors"), *a, **k).alias("x")).collect()]
+    assert hit("Capek", "K") == [True, None] and hit("Erdos", "P.")[0] and hit("Erdős", "Paul", affiliation="tudomanyos")[0]
+    assert not hit("Erdos", "Paul", affiliation="Elsewhere")[0] and not hit("Cape")[0]
+
+
+def test_endless_patterns_are_given_up(spark):
+    """A pattern that backtracks without end leaves a paper unavailable, unless another rule decides."""
+    f = RegexFilter("f", (Pattern("slow", "(a|aa)+$"), Pattern("quick", "fine")), (Pattern("veto", "stop"),), ("title",), timeout_ms=50)
+    assert f.backtracks and not RegexFilter("g", (Pattern("p", "(ab)+c"),)).backtracks
+    rows = spark.createDataFrame([("1", "a" * 60 + "b"), ("2", "a" * 60 + "b fine"), ("3", "a" * 60 + "b stop"), ("4", "aaa"), ("5", "none b"), ("6", " "), ("7", None)], "paper_id string, title string")
+    got = {r["paper_id"]: r["s"] for r in rows.select("paper_id", status_name(f.status()).alias("s")).collect()}
+    assert got == {"1": "unavailable", "2": "included", "3": "excluded", "4": "included", "5": "excluded", "6": "unavailable", "7": "unavailable"}
+    plain = RegexFilter("p", (Pattern("a", "alpha"), Pattern("b", "beta")), (Pattern("v", "veto"),), ("title", "full_text"), include_mode="all")
+    rows = spark.createDataFrame([("alpha", "beta"), ("ALPHA beta", ""), ("alpha", ""), ("veto", "alpha beta"), ("x", "y"), (None, "beta alpha")], "title string, full_text string")
+    assert all(r["a"] == r["b"] for r in rows.select(plain.status().alias("a"), plain.bounded_status().alias("b")).collect())
+
+
+def test_stored_filters(spark):
+    papers = spark.createDataFrame([("1", "alpha"), ("2", "beta")], "paper_id string, title string")
+    stack, results = FilterStack().apply_stored(RegexFilter("a", (Pattern("r", "alpha"),)), papers, None)
+    stack, results = stack.apply_stored(RegexFilter("b", (Pattern("r", "beta"),)), papers, results, "or")
+    scored = papers.withColumn("scores", F.create_map(F.lit(0), F.when(F.col("paper_id") == "1", 0.9).otherwise(0.1))).withColumn("dominant_topic", F.lit(0)).withColumn("prediction_status", F.lit("predicted"))
+    stack, results = stack.apply_stored(TopicFilter("t", "m", (TopicRule("likely", 0, 0.5),)), scored, results, "and")
+    final = lambda: {r["paper_id"]: r["final_status"] for r in stack.recompute(papers, results).collect()}
+    assert stack.expression() == "((a OR b) AND t)" and final() == {"1": "included", "2": "excluded"}
+    results = stack.refresh_topics(scored.withColumn("scores", F.create_map(F.lit(0), F.lit(0.7))), results, "m")
+    assert final() == {"1": "included", "2": "included"} and results.count() == 6
+    assert FilterStack.from_json(stack.to_json()) == stack
+    stack, results = stack.apply_stored(RegexFilter("a", (Pattern("r", "nothing"),)), papers, results, override=True)
+    assert final() == {"1": "excluded", "2": "included"}
+    stack, results = stack.reset_stored(results, "t")
+    assert results.select("filter").distinct().count() == 2 and stack.reset_stored(results)[1].count() == 0
+
+
+def test_paper_content(spark):
+    papers = spark.createDataFrame([("1", "T"), ("2", ""), ("3", "U")], "paper_id string, title string")
+    assets = spark.createDataFrame([("1", "text", "body\nReferences\nx"), ("1", "pdf", "pdf text"), ("2", "abstract", "A"), ("2", "pdf", "pdf text")], "paper_id string, role string, content string")
+    got = {r["paper_id"]: r for r in paper_content(papers, assets).collect()}
+    assert got["1"]["full_text"].strip() == "body" and got["1"]["unavailable"] == ["abstract"]
+    assert (got["2"]["abstract"], got["2"]["full_text"], got["2"]["unavailable"]) == ("A", "pdf text", ["title"]) and got["3"]["unavailable"] == ["abstract", "full_text"]
+
+
+def test_swaps_survive_crashes(spark, tmp_path):
+    rows, path = spark.createDataFrame([(1, "a")], "k int, v string"), str(tmp_path / "t")
+    extract.write_swapped(rows, path)
+    (tmp_path / "t").rename(tmp_path / "t.old")  # a crash between the two moves
+    (tmp_path / "t.new").mkdir()
+    extract.write_swapped(rows.unionByName(rows), path)
+    assert spark.read.parquet(path).count() == 2 and not (tmp_path / "t.old").exists() and not (tmp_path / "t.new").exists()
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    extract.recover_swap(spark, path)
+    assert spark.read.parquet(path).count() == 2
+    csv = str(tmp_path / "c")
+    extract.append_csv(spark.createDataFrame([("a", 'say "x"\nnext')], "m string, n string"), csv)
+    extract.append_csv(spark.createDataFrame([("b", 2)], "m string, z int"), csv)
+    assert sorted(tuple(r) for r in extract.read_csv(spark, csv).select("m", "n", "z").collect()) == [("a", 'say "x"\nnext', None), ("b", None, "2")]
+
+
+def test_status_and_assets(spark):
+    papers = corpus.normalize_papers(spark.createDataFrame([("1", "10.1/x", "succeeded", 3), ("2", "", "failed", 0)], "paper_id string, doi string, text_status string, num_text_materials int"))
+    row = corpus.pipeline_status(papers).first().asDict()
+    assert (row["papers"], row["with_doi"], row["with_text"], row["failed"], row["num_text_materials"]) == (2, 1, 1, 1, 3)
+    changed = corpus.set_enrichment_status(papers, spark.createDataFrame([("1", "partial")], "paper_id string, enrichment_status string"))
+    assert {r["paper_id"]: r["enrichment_status"] for r in changed.collect()} == {"1": "partial", "2": "pending"}
+    with pytest.raises(Exception, match="not an enrichment status: done"):
+        corpus.set_enrichment_status(papers, spark.createDataFrame([("1", "done")], "paper_id string, enrichment_status string")).collect()
+    stored = corpus.blobs(spark.createDataFrame([("old",), ("new",)], "content string"))
+    ids = {r["content"]: r["blob_id"] for r in stored.collect()}
+    assets = spark.createDataFrame([("1", "text", "a", ids["old"], "2020", 1), ("1", "text", "b", ids["new"], "2021", 2)], "paper_id string, role string, source string, blob_id string, created_at string, asset_seq int")
+    assert corpus.get_asset(assets, stored, "1", "text").first()["content"] == "new" and corpus.get_asset(assets, stored, "1", "text", "a").first()["content"] == "old"
+    assert corpus.get_asset(assets, stored, "9", "text").count() == 0
+    kids = spark.createDataFrame([("1", "a", 2), ("1", "b", 1), ("1", "a", 1), ("2", "a", 1)], "paper_id string, scheme string, position int")
+    assert [r["position"] for r in corpus.children(kids, "1", scheme="a").collect()] == [1, 2]
+    assert {r["status"]: r["n"] for r in corpus.run_summary(kids.select(F.lit("failed").alias("status"))).collect()} == {"succeeded": 0, "failed": 4}
+
+
+def test_topic_storage(spark):
+    rows = spark.createDataFrame([("1", [0.25, 0.75], 1, "predicted"), ("2", None, None, "no_vocabulary_terms")], "paper_id string, distribution array<double>, dominant_topic int, prediction_status string")
+    stored = topics.store_scores(None, rows, "lda:1", "first")
+    assert stored.count() == 3 and stored.where("is_dominant").first()["topic_id"] == 1
+    stored = topics.store_scores(stored, rows, "lda:2", "second")
+    assert topics.store_scores(stored, rows, "lda:1", "first").count() == 6
+    for model, name in (("lda:3", "first"), ("lda:1", "third")):
+        with pytest.raises(ValueError):
+            topics.store_scores(stored, rows, model, name)
+    named = {r["topic_id"]: r["topic_name"] for r in topics.name_topics(stored.where("topic_id is not null"), {1: "acids"}).collect()}
+    assert named == {0: "topic_0", 1: "acids"}
+    assert topics.load_domain_stopwords(["Cell  # biology", "", "# none", "ACID", "cell"]) == ("acid", "cell")
+
+
+def test_model_quality(spark):
+    tokens = spark.createDataFrame([(str(i), ["acid", "base"] * 3 if i % 2 else ["cell", "gene"] * 3) for i in range(40)], "paper_id string, tokens array<string>")
+    vectors = topics.vectorize(tokens, ["acid", "base", "cell", "gene"])
+    model = topics.train_lda(vectors, 2, seed=1)
+    whole, some = topics.evaluate(model, vectors), topics.evaluate(model, vectors, 10)
+    assert whole["metrics_scope"] == "complete" and some["metrics_scope"] == "sample" and whole["log_likelihood"] < some["log_likelihood"] < 0
+    assert 1 < whole["perplexity"] < 8
+
+
+def test_bigrams_stay_within_segments(spark):
+    got = spark.range(1).select(topics.features(F.lit("band gap. the gap of oxide; thin film, x é1 b2"), ("film",)).alias("t")).first()["t"]
+    assert got == ["band", "gap", "band_gap", "gap", "oxide", "gap_oxide", "thin", "b2", "thin_film", "film_b2"]
