@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import date_parts_text, match_doi, orcid, position_label, short_openalex_id
+from ..functions.identifiers import arxiv_id, date_parts_text, match_doi, orcid, pmcid, pmid, position_label, short_openalex_id
 from ..functions.nulls import any_of, first_value, has_value, nz
 
 #: Providers in order of precedence, and the columns that each rule covers.
@@ -112,6 +112,90 @@ def openalex_fields(works: DataFrame) -> DataFrame:
     )
 
 
+def record_fields(rows: DataFrame, provider: str) -> DataFrame:
+    """Papers of a mapper in ``sources.mappers`` (PubMed and the preprint servers) as shared fields.
+
+    A preprint that names its published version describes that version, so it
+    has no work type of its own. Preprints are free to read.
+    """
+    shared = [first_value(c).alias(c) for c in ("title", "journal", "publication_date", "authors")]
+    if provider == "pubmed":
+        kind = F.coalesce(F.get("publication_types", F.lit(0))["name"], F.lit(""))
+        return rows.select(match_doi("doi").alias("doi"), *shared, pmid("pmid").alias("pmid"), pmcid("pmcid").alias("pmcid"), kind.alias("work_type"))
+    own = "arxiv_id" if provider == "arxiv" else f"{provider}_doi"
+    published = match_doi("published_doi")
+    doi = match_doi("doi") if provider == "arxiv" else F.when(published != "", published).otherwise(match_doi(own))
+    license = [] if provider == "arxiv" else [first_value("license").alias("license")]
+    number = arxiv_id(own) if provider == "arxiv" else match_doi(own)
+    return rows.select(doi.alias("doi"), *shared, number.alias(own), F.when(published != "", "").otherwise("preprint").alias("work_type"), *license, F.lit(True).alias("is_oa"), F.lit("green").alias("oa_status"))
+
+
+#: The column by which each provider is asked, and the prefix of a paper's id that can stand for it.
+LOOKUP = {"crossref": ("doi", ""), "openalex": ("openalex_id", "openalex:"), "pubmed": ("pmid", "pmid:"), "arxiv": ("arxiv_id", "arxiv:"), "medrxiv": ("medrxiv_doi", "medrxiv:"), "biorxiv": ("biorxiv_doi", "biorxiv:"), "chemrxiv": ("chemrxiv_doi", "chemrxiv:")}
+_CLEANERS = {"doi": match_doi, "openalex_id": short_openalex_id, "pmid": pmid, "arxiv_id": arxiv_id}
+
+
+def lookup_key(papers: DataFrame, provider: str) -> Column:
+    """What a paper is looked up by: its own column, else what follows the prefix of its id; null if neither."""
+    column, prefix = LOOKUP[provider]
+    clean = _CLEANERS.get(column, match_doi)
+    parts = [F.nullif(clean(column), F.lit(""))] if column in papers.columns else []
+    if prefix:
+        parts.append(F.when(F.col("paper_id").startswith(prefix), F.nullif(clean(F.substr("paper_id", F.lit(len(prefix) + 1))), F.lit(""))))
+    return F.coalesce(*parts) if parts else F.lit(None).cast("string")
+
+
+def partition_candidates(papers: DataFrame, seq: str = "ingest_seq") -> tuple[dict[str, DataFrame], DataFrame]:
+    """``(key, paper_id)`` for each provider, and the ids of papers that neither a DOI nor an OpenAlex id names.
+
+    A DOI goes before an OpenAlex id. Of papers with the same key the last one
+    to arrive is the one that is asked for.
+    """
+    papers = papers.where(has_value("paper_id"))
+    doi, work = lookup_key(papers, "crossref"), lookup_key(papers, "openalex")
+    keys = {"crossref": doi, "openalex_doi": doi, "openalex": F.when(doi.isNull(), work)}
+    keys |= {p: lookup_key(papers, p) for p in LOOKUP if p not in keys}
+    found = {p: papers.select(k.alias("key"), "paper_id", F.col(seq).alias("__seq")).where("key is not null").groupBy("key").agg(F.max_by("paper_id", "__seq").alias("paper_id")) for p, k in keys.items()}
+    return found, papers.where(doi.isNull() & work.isNull()).select("paper_id")
+
+
+def enrich_papers(papers: DataFrame, records: dict[str, DataFrame], *, now: str, failed: tuple[str, ...] = (), requested: list[str] | None = None, seq: str = "ingest_seq") -> DataFrame:
+    """Papers with the merged fields of their providers' records, status, sources and provenance.
+
+    ``records`` has shared fields per provider, one row per key (or more: the
+    largest counts), under the provider's own column (:data:`LOOKUP`; OpenAlex
+    by DOI where there is one). ``failed`` names providers that could not be
+    asked: papers without any record are then failed rather than not found, and
+    stored values stay where a fresh one is missing. Papers that no provider
+    can look up are unresolved.
+    """
+    asked = requested or [*records, *(p for p in failed if p not in records)]
+    rows = papers.withColumn("resolvable", F.lit(False))
+    keys = {}
+    for p in PROVIDERS:
+        if p in records:
+            rows = rows.withColumn(f"__{p}", lookup_key(papers, p))
+            keys[p] = f"__{p}"
+    if "openalex" in records:
+        rows = rows.withColumn("__openalex_doi", lookup_key(papers, "crossref"))
+    can = [lookup_key(papers, p).isNotNull() for p in asked] + ([lookup_key(papers, "crossref").isNotNull()] if "openalex" in asked else [])
+    rows = rows.withColumn("resolvable", any_of(can))
+    for p, key in keys.items():
+        fresh, column = records[p], LOOKUP[p][0]
+        one = fresh.groupBy(F.col(column).alias("__key")).agg(F.max(F.struct(*fresh.columns)).alias(p)).where(has_value("__key"))
+        rows = rows.join(one, F.col(key) == F.col("__key"), "left").drop("__key")
+        if p == "openalex" and "doi" in fresh.columns:
+            by_doi = fresh.groupBy(F.col("doi").alias("__key")).agg(F.max(F.struct(*fresh.columns)).alias("__by_doi")).where(has_value("__key"))
+            rows = rows.join(by_doi, F.col("__openalex_doi") == F.col("__key"), "left").withColumn(p, F.coalesce("__by_doi", p)).drop("__key", "__by_doi")
+    merged = merge_fields(rows.drop(*(c for c in rows.columns if c.startswith("__"))), asked, F.lit(bool(failed)))
+    kept = [c for c in papers.columns if c in SHARED and c in merged.columns]
+    old = papers.select(F.col("paper_id"), *(F.col(c).alias(f"__{c}") for c in kept))
+    out = merged.join(old, "paper_id").withColumns({c: first_value(f"__{c}", c) for c in kept}).drop(*(f"__{c}" for c in kept))  # what a paper has is not overwritten
+    out = preserve(out, papers, F.lit(bool(failed)))
+    out = out.withColumn("enrichment_status", F.when(~F.col("resolvable"), "unresolved").otherwise(F.col("enrichment_status"))).drop("resolvable")
+    return out.withColumn("enriched_at", F.when(F.col("enrichment_status").isin("succeeded", "partial"), now).otherwise(F.col("enriched_at") if "enriched_at" in papers.columns else F.lit("")))
+
+
 # --- children
 
 

@@ -94,7 +94,7 @@ def chemrxiv(rows: DataFrame) -> DataFrame:
     columns = {
         "doi": F.when(published != "", published).otherwise(own), "chemrxiv_doi": own, "title": clean_text("title"), "journal": F.when(published != "", "").otherwise("chemRxiv"),
         "publication_date": F.substring(first_value("publishedDate", "submittedDate"), 1, 10), "authors": _names(F.col("authors"), "firstName", "lastName"), "abstract": strip_tags("abstract"),
-        "published_doi": published, "version": version, "license": clean_text("license.name"), "pdf_url": first_value("asset.original.url"), "chemrxiv_stem": ids.preprint_stem("doi"),
+        "published_doi": published, "version": version, "license": clean_text("license.name"), "pdf_url": first_value("asset.original.url"), "chemrxiv_stem": ids.preprint_stem("doi"), "keywords": F.coalesce("keywords", F.array().cast("array<string>")),
     }
     return _paper(r, "chemrxiv", **_with_primary(columns, terms))
 
