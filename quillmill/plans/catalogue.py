@@ -433,3 +433,6 @@ def first_values(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as papers, through a stack of filters, to counts per filter."""
     return filter_overview(spark, sf_dir)
+
+
+from . import records  # noqa: E402,F401  adds its queries

@@ -114,3 +114,12 @@ def test_images(spark):
     row = spark.createDataFrame([(bytearray(png),), (bytearray(b"no"),)], "c binary").select(*textops.png_size("c"), textops.data_url("c", "image/png")).collect()
     assert row[0][:2] == (640, 480) and row[1][:2] == (None, None) and row[0][2].startswith("data:image/png;base64,iVBOR")
     assert one(spark, textops.image_tokens(F.lit(640), F.lit(480))) == 85 + 170 * 2
+
+
+def test_normal_forms_are_those_of_the_standard_library(spark):
+    import unicodedata
+
+    texts = ["abc", "Ouréau ä ﬁ … ①", "é ß ǅ", "", None, "한글", "AB"]
+    rows = spark.createDataFrame([(t,) for t in texts], "a string").coalesce(1)
+    got = rows.select(textops.nfkc("a"), textops.fold_case("a")).collect()
+    assert [tuple(r) for r in got] == [(None, None) if t is None else (unicodedata.normalize("NFKC", t), unicodedata.normalize("NFKC", t).casefold()) for t in texts]
