@@ -21,9 +21,11 @@ single separator id. Columns other than the id and the text are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +61,9 @@ class Encoder:
     :mod:`.bpe`; so do all without a rank file.
     """
 
-    def __init__(self, tokenizer_path: str, ranks_path: str | None, pattern: str | None):
-        self.exact = Codec(merger(tokenizer_path), Lexicon(compile_lexicon([], [])))
-        self.special, self.quick = self.exact.exact.special, None
+    def __init__(self, tokenizer_path: str, ranks_path: str | None, pattern: str | None, special: dict[str, int] | None = None):
+        self.path, self.quick = tokenizer_path, None
+        self.special = added_tokens(tokenizer_path) if special is None else special
         if ranks_path:
             import tiktoken
 
@@ -72,12 +74,23 @@ class Encoder:
                 _QUICK[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
             self.quick = _QUICK[key]
 
+    @cached_property
+    def exact(self) -> Codec:
+        """Only read by a worker that meets a text for it, since its tables take some 100 MB while they are read."""
+        return Codec(merger(self.path), Lexicon(compile_lexicon([], [])))
+
     def ids(self, text: str) -> np.ndarray:
         if self.quick and SAFE.fullmatch(text) and not endless(text):
             return self.quick.encode_to_numpy(text, allowed_special=set(self.special))
         return self.exact.encode([text])[0]
 
 
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Special tokens of a tokenizer file, whose strings in a text are single ids."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def token_pieces(docs: DataFrame, *, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, capacity: int, separator: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Cut every document into pieces of at most ``capacity`` ids, the rest first.
 
@@ -86,8 +99,10 @@ def token_pieces(docs: DataFrame, *, tokenizer_path: str, ranks_path: str | None
     piece in front, so that all later pieces fill a bin by themselves.
     """
 
+    special = added_tokens(tokenizer_path)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, ranks_path, pattern)
+        encoder = Encoder(tokenizer_path, ranks_path, pattern, special)
         for batch in batches:
             ids = column_of(batch, "doc_id").to_pylist()
             for first, texts in slices(column_of(batch, "text")):

@@ -49,22 +49,96 @@ CELLS, TOGETHER = 1 << 20, 2048
 _ODD = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Words up to this many bytes are hashed in step, eight bytes at a time; longer ones one by one.
+_STEPWISE = 512
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end in bytes whose last one is blank."""
+    edge = np.flatnonzero(np.diff(_BLANK[data].view(np.int8), prepend=np.int8(1)))
+    return edge[::2], edge[1::2]
+
+
 class Words:
-    """Words of several texts in one row, with exact numbers and window hashes."""
+    """Words of several texts in one row, as places in a buffer, with exact numbers and window hashes.
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, size: int):
-        import xxhash
+    ``data`` holds eight bytes beyond the last word's end. ``counts`` says how
+    many words each text has. A word's hash depends on its bytes only. Words of
+    up to seven bytes have hashes that none other has. Hashes serve as the words'
+    numbers if no two different longer words here share one, which is checked
+    on the bytes; else words get numbers by a dictionary.
+    """
 
-        self.size = size
-        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        self.ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        own = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
-        self.hash = own[self.ids]
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, size: int):
+        self.size, self.data, self.starts, self.ends = size, data, starts, ends
+        self.eight = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))  # every eight bytes in a row
+        self.hash = self._hashes()
+        self.ids = self.hash if self._distinct() else self._numbers()
         self.first = np.cumsum(counts) - counts  # of each text
         room = np.maximum(counts - size + 1, 0)
         self.at = ragged(self.first, room)  # where windows start, in this row
         self.text = np.repeat(np.arange(len(counts)), room)
 
+    @classmethod
+    def of(cls, texts: list[bytes], size: int) -> Words:
+        data = np.frombuffer(b" ".join([*texts, b"       "]), np.uint8)
+        starts, ends = word_spans(data)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return cls(data, starts, ends, np.diff(np.searchsorted(starts, begins)), size)
+
+    def bytes_of(self, k: int) -> bytes:
+        return self.data[self.starts[k] : self.ends[k]].tobytes()
+
+    def _chunk(self, words: np.ndarray, k: int) -> np.ndarray:
+        """Bytes ``8 k`` and on of the words, as numbers; what lies beyond a word is 0."""
+        return self.eight[self.starts[words] + 8 * k] & _LOW_BYTES[np.minimum(self.ends[words] - self.starts[words] - 8 * k, 8)]
+
+    def _hashes(self) -> np.ndarray:
+        import xxhash
+
+        n = self.ends - self.starts
+        out = np.zeros(len(n), np.uint64)
+        # bytes and length in one number, scrambled by a bijection; no longer word's number starts with 0 to 7
+        short = np.flatnonzero(n < 8)
+        out[short] = mix64(self._chunk(short, 0) | n[short].astype(np.uint64) << np.uint64(56))
+        long = words = np.flatnonzero((n >= 8) & (n <= _STEPWISE))
+        out[words], k = n[words].astype(np.uint64) * _ODD[240], 0
+        while len(words):
+            out[words] = mix64(out[words] + self._chunk(words, k) * _ODD[241])
+            k += 1
+            words = words[n[words] > 8 * k]
+        out[long] = mix64(out[long] | np.uint64(255 << 56))
+        for w in np.flatnonzero(n > _STEPWISE).tolist():
+            out[w] = mix64(np.array([xxhash.xxh3_64_intdigest(self.bytes_of(w)) | 255 << 56], np.uint64))[0]
+        return out
+
+    def _distinct(self) -> bool:
+        """Whether equal hashes are equal words, by comparing neighbours in order of hash; short words need no look."""
+        order = np.flatnonzero(self.ends - self.starts >= 8)
+        order = order[np.argsort(self.hash[order])]
+        same = np.flatnonzero(self.hash[order[1:]] == self.hash[order[:-1]])
+        left, right = order[same], order[same + 1]
+        n = self.ends[left] - self.starts[left]
+        if (n != self.ends[right] - self.starts[right]).any():
+            return False
+        if any(self.bytes_of(a) != self.bytes_of(b) for a, b in zip(left[n > _STEPWISE].tolist(), right[n > _STEPWISE].tolist())):
+            return False
+        left, right, k = left[n <= _STEPWISE], right[n <= _STEPWISE], 0
+        while len(left):
+            if (self._chunk(left, k) != self._chunk(right, k)).any():
+                return False
+            k += 1
+            more = self.ends[left] - self.starts[left] > 8 * k
+            left, right = left[more], right[more]
+        return True
+
+    def _numbers(self) -> np.ndarray:
+        number: dict[bytes, int] = {}
+        return np.array([number.setdefault(self.bytes_of(k), len(number)) for k in range(len(self.starts))], np.uint64)
+
     def window_hash(self) -> np.ndarray:
         out = np.zeros(len(self.at), np.uint64)
         for j in range(self.size):
@@ -119,10 +193,10 @@ def _spans(keys: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray,
     return keys[first], starts[first], starts[last] + size
 
 
-def _read(doc_ids: pa.Array, texts: list[str], first: int) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Ids and words of the rows that have an id, in order of id."""
+def _read(doc_ids: pa.Array, texts: list[str], first: int) -> tuple[np.ndarray, list[bytes]]:
+    """Ids and texts of the rows that have an id, in order of id."""
     rows = sorted((i, first + k) for k, i in enumerate(doc_ids.slice(first, len(texts)).to_pylist()) if i is not None)
-    return np.array([i for i, _ in rows], np.int64), [texts[k - first].encode().split() for _, k in rows]
+    return np.array([i for i, _ in rows], np.int64), [texts[k - first].encode() for _, k in rows]
 
 
 def _cells(minimisers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +212,7 @@ def _frequent(docs: DataFrame, size: int, limit: float) -> np.ndarray:
         sums = np.zeros((2, CELLS), np.int64)
         for batch in batches:
             for first, texts in slices(column_of(batch, "text")):
-                _, words = _read(column_of(batch, "doc_id"), texts, first)
-                row = Words([w for ws in words for w in ws], np.array([len(ws) for ws in words], np.int64), size)
+                row = Words.of(_read(column_of(batch, "doc_id"), texts, first)[1], size)
                 low = row.minimisers()
                 new = np.ones(len(low), bool)
                 new[1:] = (low[1:] != low[:-1]) | (row.text[1:] != row.text[:-1])
@@ -171,8 +244,8 @@ def _is_frequent(bits: np.ndarray, minimisers: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack(row: Words, words: list[bytes], doc: np.ndarray, place: np.ndarray, travels: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """One compressed row per bucket with the runs of travelling windows that go there."""
+def _pack(row: Words, doc: np.ndarray, place: np.ndarray, travels: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """One compressed row per bucket with the runs of travelling windows that go there, as they stand in the texts."""
     import zstandard
 
     index = np.flatnonzero(travels)
@@ -184,17 +257,14 @@ def _pack(row: Words, words: list[bytes], doc: np.ndarray, place: np.ndarray, tr
     order = np.argsort(b[first], kind="stable")
     first, last = index[first[order]], index[last[order]]
     n_words = row.at[last] - row.at[first] + row.size
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
-    begin, length = starts[row.at[first]], ends[row.at[first] + n_words - 1] - starts[row.at[first]]
-    packed, at = data[ragged(begin, length)], np.concatenate([[0], np.cumsum(length)])
-    goes = bucket[first]
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(goes)) + 1, [len(goes)]])
+    # a blank follows every word
+    begin, end = row.starts[row.at[first]].tolist(), (row.ends[row.at[last] + row.size - 1] + 1).tolist()
+    goes, data = bucket[first], row.data.tobytes()
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(goes)) + 1, [len(goes)]]).tolist()
     press = zstandard.ZstdCompressor(level=3)
     for a, z in zip(edges, edges[1:]):
         head = struct.pack("<q", z - a) + doc[first[a:z]].astype("<i8").tobytes() + place[first[a:z]].astype("<i8").tobytes() + n_words[a:z].astype("<i8").tobytes()
-        yield int(goes[a]), press.compress(head + packed[at[a] : at[z]].tobytes())
+        yield int(goes[a]), press.compress(head + b"".join([data[x:y] for x, y in zip(begin[a:z], end[a:z])]))
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -221,14 +291,13 @@ def repeated_spans(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
         hot = sent.value
         for batch in batches:
             for begin, texts in slices(column_of(batch, "text")):
-                ids, lists = _read(column_of(batch, "doc_id"), texts, begin)
-                words = [w for ws in lists for w in ws]
-                row = Words(words, np.array([len(ws) for ws in lists], np.int64), size)
+                ids, own = _read(column_of(batch, "doc_id"), texts, begin)
+                row = Words.of(own, size)
                 hashes, low = row.window_hash(), row.minimisers()
                 doc, place = ids[row.text], row.at - row.first[row.text]
                 repeat, first = row.repeats(doc, place, hashes)
                 low = np.where(_is_frequent(hot, low), mix64(hashes), low)
-                out = list(_pack(row, words, doc, place, first, (low % np.uint64(buckets)).astype(np.int64)))
+                out = list(_pack(row, doc, place, first, (low % np.uint64(buckets)).astype(np.int64)))
                 key, start, end = _spans(doc[repeat], place[repeat], size)
                 settled = np.stack([key, start, end]).astype("<i8")
                 for part in range(0, settled.shape[1], 50_000):
@@ -246,13 +315,12 @@ def repeated_spans(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
                 parts.append(_unpack(data))
         if parts:
             doc, place, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            words = [w for p in parts for w in p[3].split()]
+            data = np.frombuffer(b"".join([*(p[3] for p in parts), b"        "]), np.uint8)
+            starts, ends = word_spans(data)
             order = np.lexsort((place, doc))
-            at = np.cumsum(n) - n
-            if (np.diff(order) < 0).any():
-                words = [w for a, c in zip(at[order].tolist(), n[order].tolist()) for w in words[a : a + c]]
+            words = ragged((np.cumsum(n) - n)[order], n[order])
             doc, place, n = doc[order], place[order], n[order]
-            row = Words(words, n, size)
+            row = Words(data, starts[words], ends[words], n, size)
             key, start = doc[row.text], place[row.text] + row.at - row.first[row.text]
             # a document's runs can overlap here only in rows that share an id
             repeat, _ = row.repeats(key, start, row.window_hash())

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quillmill.llm import substring
 from quillmill.llm.substring import remove_repeats
@@ -75,13 +77,36 @@ def test_minimiser_that_is_rare_in_each_slice_is_found(spark):
     rows = [(i, passage + "\n" + " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(100)
     bits = substring._frequent(docs, 20, 150)
-    low = substring.Words(passage.encode().split(), np.array([20]), 20).minimisers()
+    low = substring.Words.of([passage.encode()], 20).minimisers()
     assert substring._is_frequent(bits, low).all()
     assert sum(np.unpackbits(b).sum() for b in bits) < 40
-    own = substring.Words(rows[0][1].encode().split(), np.array([80]), 20).minimisers()
+    own = substring.Words.of([rows[0][1].encode()], 20).minimisers()
     assert substring._is_frequent(bits, own).mean() < 0.5
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "ab", "aaaaaaaa", "aaaaaaaab", "x" * 16, "x" * 17, "é", "\u2003", "y" * 513, "y" * 514, " ", "  ", "\t", "\n", "\x0b\x0c", "\r", "\x1c", "\x85"]), max_size=30).map("".join), max_size=6))
+def test_words_are_those_of_a_split(texts):
+    raw = [t.encode() for t in texts]
+    row = substring.Words.of(raw, 2)
+    words = [w for t in raw for w in t.split()]
+    assert [row.bytes_of(k) for k in range(len(row.starts))] == words and row.first.tolist() == np.cumsum([0, *(len(t.split()) for t in raw)])[:-1].tolist()
+    assert [[a == b for b in words] for a in words] == [[a == b for b in row.ids.tolist()] for a in row.ids.tolist()]
+    assert row.hash.tolist() == [int(substring.Words.of([w], 2).hash[0]) for w in words]
+
+
+def test_words_that_share_a_hash(spark, monkeypatch):
+    """Numbers come from a dictionary then, and windows with one hash are told apart by them."""
+    monkeypatch.setattr(substring.Words, "_hashes", lambda self: np.full(len(self.starts), 7, np.uint64))
+    a, b, c = b"aaaaaaaaa", b"bbbbbbbbb", b"c" * 600
+    row = substring.Words.of([b" ".join((a, b, a, c)), b" ".join((c, a))], 2)
+    assert row.ids.tolist() == [0, 1, 0, 2, 2, 0]
+    repeat, first = row.repeats(row.text, row.at - row.first[row.text], row.window_hash())
+    assert repeat.tolist() == [False] * 4 and first.all()
+    row = substring.Words.of([b" ".join((a, b, a, b))], 2)
+    assert row.repeats(row.text, row.at, row.window_hash())[0].tolist() == [False, False, True]
+
+
 def test_odd_rows(spark):
     """A very long text, one endless word, blanks only, many rows without an id."""
     long = " ".join(f"w{k % 5000}" for k in range(60_000))
