@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import column_of, slices, written
+from .common import column_of, give_back, slices, written
 
 UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -108,6 +108,7 @@ def fit_languages(docs: DataFrame, *, text_column: str = "text", lang_column: st
                         if key not in found and (wanted is None or key in wanted) and _LETTER.search(piece):
                             found[key] = piece if wanted else ""
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.string())], names=["lang", "h", "piece"])
+        give_back()
 
     schema = "lang string, h long, piece string"
     keys = written(known.mapInArrow(pieces, schema).select("lang", "h").distinct(), "pieces")
@@ -138,6 +139,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, margin: float = 0.001, te
             found = [own.predict(t, margin) for _, texts in slices(column_of(batch, text)) for t in texts]
             lang, score, rejected = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*kept, "lang_pred", "score", "rejected"])
+        give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(kept)])
     return rows.mapInArrow(judge, f"{fields}, lang_pred string, score double, rejected boolean")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, mix64, ragged, slices, spread_join, written
+from .common import column_of, give_back, mix64, ragged, slices, spread_join, written
 from .graph import components
 
 _ODD = mix64(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
@@ -142,6 +142,7 @@ def signatures(docs: DataFrame, width: int, banding: Banding, id_column: str = "
                     [ids.slice(at, len(texts)), pa.array(counts, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
                     names=["doc_id", "n_shingles", "set_key", "bands", "signature"],
                 )
+        give_back()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(sign, schema)
 
@@ -289,12 +290,15 @@ def best_pairs(members: DataFrame, banding: Banding, number: int, block: int = 2
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with their ``component`` and their hub's, of the buckets that hold more than the hub's."""
+    """Members with their ``component`` and their hub's."""
     at = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     hubs = labels.select(F.col("id").alias("hub"), F.col("component").alias("__hub"))
-    at = written(spread_join(written(at, "members"), hubs, ["hub"]).withColumn("hub", F.coalesce("__hub", "hub")).drop("__hub"), "labelled")
-    mixed = at.where("component <> hub").select("band", "bucket").distinct()
-    return spread_join(at, mixed, ["band", "bucket"], "left_semi")
+    return written(spread_join(written(at, "members"), hubs, ["hub"]).withColumn("hub", F.coalesce("__hub", "hub")).drop("__hub"), "labelled")
+
+
+def _mixed(at: DataFrame) -> DataFrame:
+    """Labelled members of the buckets that hold more than the hub's component."""
+    return spread_join(at, at.where("component <> hub").select("band", "bucket").distinct(), ["band", "bucket"], "left_semi")
 
 
 def _shared_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -332,7 +336,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, mis
         left = at.where("component <> hub").agg(F.sum("size").alias("n")).first()["n"] or 0
         if left <= 20 * n:
             break
-        some = at.where(F.col("band") % 4 == number % 4).join(few, "doc_id")
+        some = _mixed(at.where(F.col("band") % 4 == number % 4)).join(few, "doc_id")
         named = written(best_pairs(some, banding, number), "named")
         found = written(confirm(named, texts, width, threshold), "links")
         if found.isEmpty():
@@ -340,7 +344,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, mis
         links = links.unionByName(found)
         labels = components(links)
         at = _labelled(members, labels)
-    rest = at.join(few, "doc_id").join(texts, "doc_id")
+    rest = _mixed(at).join(few, "doc_id").join(texts, "doc_id")
     more = written(rest_links(rest, banding, width), "links")
     labels = components(links.unionByName(more))
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))

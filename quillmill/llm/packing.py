@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import SAFE, Codec, Lexicon, compile_lexicon, merger
-from .common import column_of, slices, written
+from .common import column_of, give_back, slices, written
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -118,6 +118,7 @@ def token_pieces(docs: DataFrame, *, tokenizer_path: str, ranks_path: str | None
                 columns = list(zip(*rows))
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(cut, PIECE_SCHEMA)
 

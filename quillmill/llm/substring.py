@@ -38,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, mix64, ragged, slices
+from .common import column_of, give_back, mix64, ragged, slices
 
 TRIPLE = 3
 #: Packed text that a bucket holds on average, in bytes, and how many times the text the packed windows are.
 BUCKET_BYTES = 8_000_000
 SPREAD = 3
+#: Bytes of texts whose repeats are settled together before any window travels.
+SLICE = 4_000_000
 #: Cells of each of a sketch's two arrays, and how many of them travel together.
 CELLS, TOGETHER = 1 << 20, 2048
 _ODD = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
@@ -211,7 +213,7 @@ def _frequent(docs: DataFrame, size: int, limit: float) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, CELLS), np.int64)
         for batch in batches:
-            for first, texts in slices(column_of(batch, "text")):
+            for first, texts in slices(column_of(batch, "text"), SLICE):
                 row = Words.of(_read(column_of(batch, "doc_id"), texts, first)[1], size)
                 low = row.minimisers()
                 new = np.ones(len(low), bool)
@@ -222,6 +224,7 @@ def _frequent(docs: DataFrame, size: int, limit: float) -> np.ndarray:
         parts = [(k, part) for k, part in enumerate(sums.reshape(-1, TOGETHER)) if part.any()]
         packed = [press.compress(part.astype(np.min_scalar_type(int(part.max()))).tobytes()) for _, part in parts]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array(packed, pa.binary())], names=["part", "packed"])
+        give_back()
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(TOGETHER, np.int64)
@@ -290,7 +293,7 @@ def repeated_spans(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = sent.value
         for batch in batches:
-            for begin, texts in slices(column_of(batch, "text")):
+            for begin, texts in slices(column_of(batch, "text"), SLICE):
                 ids, own = _read(column_of(batch, "doc_id"), texts, begin)
                 row = Words.of(own, size)
                 hashes, low = row.window_hash(), row.minimisers()
@@ -304,6 +307,7 @@ def repeated_spans(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
                     piece = settled[:, part : part + 50_000]
                     out.append((int(piece[0, 0] % buckets), b"=" + piece.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["bucket", "packed"])
+        give_back()
 
     def settle(group: pa.Table) -> pa.Table:
         found, parts = [], []
@@ -316,6 +320,7 @@ def repeated_spans(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
         if parts:
             doc, place, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
             data = np.frombuffer(b"".join([*(p[3] for p in parts), b"        "]), np.uint8)
+            del parts
             starts, ends = word_spans(data)
             order = np.lexsort((place, doc))
             words = ragged((np.cumsum(n) - n)[order], n[order])
@@ -325,6 +330,8 @@ def repeated_spans(docs: DataFrame, *, size: int = 20, id_column: str = "doc_id"
             # a document's runs can overlap here only in rows that share an id
             repeat, _ = row.repeats(key, start, row.window_hash())
             found.append(np.stack(_spans(key[repeat], start[repeat], size)))
+            del row, key, start, repeat, words, data
+            give_back()
         out = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
         return pa.table({"doc_id": pa.array(out[0], pa.int64()), "first": pa.array(out[1], pa.int64()), "end": pa.array(out[2], pa.int64())})
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import column_of, slices, written
+from .common import column_of, give_back, slices, written
 
 FEATURES = ("listed", "listed_share", "listed_distinct", "strength", "near_you", "revealed", "capitals", "shouted", "punctuation", "exclaimed", "stretched", "swapped", "log_words")
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti contigo usted ustedes vosotros".split())
@@ -238,6 +238,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                     seen[labels[at]].update({plain(w) for w in text.split()})
                 words = list({**seen[0], **seen[1]})
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[k][w] for w in words], pa.int64()) for k in (1, 0))], names=["word", "c1", "c0"])
+        give_back()
 
     return rows.select("text", "label").mapInArrow(count, "word string, c1 long, c0 long").groupBy("word").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
 
@@ -303,6 +304,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_column: str =
             x = [features(t, own.listed) for _, texts in slices(column_of(batch, text)) for t in texts]
             score = own.score(np.array(x).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in kept), pa.array(score, pa.float64())], names=[*kept, "score"])
+        give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(kept)])
     return rows.mapInArrow(judge, f"{fields}, score double")
