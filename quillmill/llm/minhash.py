@@ -329,21 +329,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, mis
     links = written(confirm(written(prune(pairs, few, banding), "pairs"), texts, width, threshold), "links")
     links = links.unionByName(_shared_ids(signed, classes.drop("n")))
     labels = components(links)
-    at = _labelled(members, labels)
-    n = members.count()
-    for number in range(rounds):
+    for number in range(rounds):  # each looks at a quarter of the bands, and labels only those
+        at = _labelled(members.where(F.col("band") % 4 == number % 4), labels)
         # comparisons that are left, at most; where they are few against the members there is nothing to save
         left = at.where("component <> hub").agg(F.sum("size").alias("n")).first()["n"] or 0
-        if left <= 20 * n:
+        if left <= 20 * at.count():
             break
-        some = _mixed(at.where(F.col("band") % 4 == number % 4)).join(few, "doc_id")
-        named = written(best_pairs(some, banding, number), "named")
+        named = written(best_pairs(_mixed(at).join(few, "doc_id"), banding, number), "named")
         found = written(confirm(named, texts, width, threshold), "links")
         if found.isEmpty():
             break
         links = links.unionByName(found)
         labels = components(links)
-        at = _labelled(members, labels)
+    at = _labelled(members, labels)
     rest = _mixed(at).join(few, "doc_id").join(texts, "doc_id")
     more = written(rest_links(rest, banding, width), "links")
     labels = components(links.unionByName(more))
