@@ -320,7 +320,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, mis
     reps = written(signed.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"]), "classes")
     banded = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     buckets = written(banded.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1"), "buckets")
-    members = written(spread_join(banded, buckets, ["band", "bucket"], "inner", counts=buckets.withColumnRenamed("size", "n")), "members")  # of buckets that more than one class shares
+    # of buckets that more than one class shares; most rows are in none, so a plain join, whose skewed partitions Spark splits, drops them at once
+    members = written(banded.join(buckets, ["band", "bucket"]), "members")
     named = members.select("doc_id").distinct()
     few = written(reps.select("doc_id", "n_shingles", "bands", "signature").join(named, "doc_id", "left_semi"), "candidates")
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
