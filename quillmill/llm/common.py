@@ -80,7 +80,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
         out = known.join(right, on, how)
     else:
         few = F.broadcast(hot)
-        out = known.join(few, on, "left_semi").join(F.broadcast(right.join(few, on, "left_semi")), on, how).unionByName(known.join(few, on, "left_anti").join(right, on, how))
+        own = known.join(few, on, "left_semi") if how == "left" else known  # else the join itself keeps the hot keys only
+        out = own.join(F.broadcast(right.join(few, on, "left_semi")), on, how).unionByName(known.join(few, on, "left_anti").join(right, on, how))
     return out.unionByName(none, allowMissingColumns=True) if how == "left" else out
 
 

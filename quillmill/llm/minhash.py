@@ -298,7 +298,8 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _mixed(at: DataFrame) -> DataFrame:
     """Labelled members of the buckets that hold more than the hub's component."""
-    return spread_join(at, at.where("component <> hub").select("band", "bucket").distinct(), ["band", "bucket"], "left_semi")
+    mixed = written(at.where("component <> hub").select("band", "bucket").distinct(), "mixed")  # else a join with it takes all strays
+    return spread_join(at, mixed, ["band", "bucket"], "left_semi")
 
 
 def _shared_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -342,8 +343,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, mis
             break
         links = links.unionByName(found)
         labels = components(links)
-    at = _labelled(members, labels)
-    rest = _mixed(at).join(few, "doc_id").join(texts, "doc_id")
+    rest = written(_mixed(_labelled(members, labels)), "rest")  # rest_links reads it twice
+    rest = rest.join(few, "doc_id").join(texts, "doc_id")
     more = written(rest_links(rest, banding, width), "links")
     labels = components(links.unionByName(more))
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))

@@ -1,4 +1,6 @@
 import random
+import re
+from functools import partial
 
 import numpy as np
 import pytest
@@ -139,3 +141,40 @@ def test_very_long_and_repeated_texts(spark):
     long = " ".join(f"w{k}" for k in range(60_000))
     rows = [(1, long), (2, long + " end"), (2, long + " end"), (3, "x" * 1_000_000), (4, "x" * 1_000_000), (5, " " * 1_000_000 + "a"), (6, "a"), (7, "a b")]
     assert {r[0]: r[2] for r in run(spark, rows, 3, 85)} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7}
+
+
+def rows_made(spark, pattern, run):
+    """Rows that the plan nodes with this description have put out while ``run`` ran."""
+    context, store = spark.sparkContext._jsc.sc(), spark._jsparkSession.sharedState().statusStore()
+    context.listenerBus().waitUntilEmpty()
+    listed = store.executionsList()
+    last = max((listed.apply(k).executionId() for k in range(listed.size())), default=-1)
+    run()
+    context.listenerBus().waitUntilEmpty()
+    total, listed = 0, store.executionsList()
+    for number in (listed.apply(k).executionId() for k in range(listed.size())):
+        if number > last:
+            nodes, values = store.planGraph(number).allNodes(), store.executionMetrics(number)
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                if re.search(pattern, re.sub(r"#\d+L?", "", node.desc())):
+                    metrics = (node.metrics().apply(k) for k in range(node.metrics().size()))
+                    total += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return total
+
+
+def test_members_of_mixed_buckets_are_found_once(spark, monkeypatch):
+    """A group near the threshold: each member of a bucket goes through the semi join once, in frequent buckets too."""
+    base, made, labelled, whole = [f"b{k}" for k in range(40)], [], minhash._labelled, near_duplicates
+    rows = [(i, " ".join([*base[: i % 36 + 2], f"x{i}", *base[i % 36 + 3 :]])) for i in range(60)]
+    monkeypatch.setattr(minhash, "_labelled", lambda m, labels: made.append(labelled(m, labels)) or made[-1])
+    monkeypatch.setattr(minhash, "spread_join", partial(spread_join, least=20))
+    got = []
+    # no rounds: what they make comes on top, over a quarter of the bands each
+    monkeypatch.setitem(globals(), "near_duplicates", partial(whole, rounds=0))
+    n = rows_made(spark, r"\[band, bucket\], \[band, bucket\], LeftSemi", lambda: got.extend(run(spark, rows, 3, 85)))
+    assert got == brute(rows, 3, 85)
+    (members,) = made
+    mixed = members.join(members.where("component <> hub").select("band", "bucket").distinct(), ["band", "bucket"], "left_semi").count()
+    frequent = members.groupBy("band", "bucket").count().where("count > 20").count()
+    assert frequent and mixed > members.count() / 2
+    assert mixed <= n <= mixed + frequent  # the list of frequent buckets is joined as well
