@@ -110,8 +110,8 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Runs of rows holding about ``limit`` bytes, as (first row, texts); a null text is empty."""
+def runs(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Runs of rows holding about ``limit`` bytes, as (first row, row after the last)."""
     n = len(texts)
     if not n:
         return
@@ -120,7 +120,12 @@ def slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, lis
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
     block = np.cumsum(sizes) // limit
     edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), n]
-    for a, b in zip(edges, edges[1:]):
+    yield from zip(edges, edges[1:])
+
+
+def slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """Runs of rows holding about ``limit`` bytes, as (first row, texts); a null text is empty."""
+    for a, b in runs(texts, limit):
         yield a, [t or "" for t in texts.slice(a, b - a).to_pylist()]
 
 

@@ -6,14 +6,15 @@ words (by their last bytes). A word of a class then has its smoothed share of
 the class, so that the probabilities of all known words and of one unknown word
 sum to 1 in each state.
 
-Texts are cut into words once. A slice of documents becomes one packed row: its
+Texts are cut into words once, by Arrow. A slice of documents becomes one packed row: its
 vocabulary and the documents as numbers in it. Counts come from one shuffle of
 the slices' vocabularies by word, which also returns each word's count to the
 slices that hold it, so no vocabulary of the whole corpus is ever broadcast or
 collected. What the driver holds is bounded: the frequent words, the classes
 and the parameters.
 
-Baum-Welch runs over all training documents. Its expected counts are added up
+Baum-Welch runs over all training documents, whose symbols are written once for
+all rounds. Its expected counts are added up
 within a task, then across partitions by a shuffle with as many rows as symbols
 and states. For training only, a text counts as consecutive sequences of at
 most ``longest`` tokens, of which the later ones start from the states' overall
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_of, id_crc, most_frequent, ragged, slices, written
+from .common import column_of, give_back, id_crc, most_frequent, ragged, runs, written
 
 PACKED = "chunk long, vocab binary, doc_ids array<long>, held array<boolean>, lengths array<long>, tokens binary"
 END = 0  # the end's symbol; frequent words and then classes follow
@@ -55,44 +56,67 @@ def _open(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _press_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 by planes of equal bytes, so that those of high bytes compress away."""
+    return _press(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _open_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_open(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, A-Z lower-cased, and how many each text has."""
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    parts = lists.flatten()  # with empty ones where a text is empty or has blanks at its ends
+    word = np.asarray(pc.binary_length(parts)) > 0
+    before = np.concatenate([[0], np.cumsum(word)])
+    return parts.filter(pa.array(word)), np.diff(before[np.concatenate([[0], np.cumsum(pc.list_value_length(lists))])])
+
+
 def pack_texts(docs: DataFrame, held: str, *, chunk_chars: int = 16_000_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Documents as numbers in the vocabulary of their chunk; one row per chunk."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = {}
-        ids, flags, lengths, tokens, held_chars = [], [], [], [], 0
+        import pyarrow.compute as pc
+
+        ids, flags, lengths, found, held_chars = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+            coded = pa.concat_arrays(found).dictionary_encode()
+            flat = coded.indices.to_numpy()
             # the commonest words get the smallest numbers, so that high bytes compress away
-            order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
-            rank = np.empty(len(order), np.int64)
+            order = np.argsort(-np.bincount(flat, minlength=len(coded.dictionary)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order))
-            words = list(number)
-            planes = rank[flat].astype("<u4").view(np.uint8).reshape(-1, 4).T
+            words = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), coded.dictionary.take(pa.array(order)))
+            vocab = pc.binary_join(words, "\n")[0].as_buffer().to_pybytes()
             (chunk,) = struct.unpack("<q", os.urandom(8))
-            row = [chunk, _press(b"\n".join(words[i] for i in order)), ids[:], flags[:], lengths[:], _press(planes.tobytes())]
+            row = [chunk, _press(vocab), ids[:], flags[:], lengths[:], _press_numbers(rank[flat])]
             types = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[f.split()[0] for f in PACKED.split(", ")])
 
         for batch in batches:
-            all_ids, all_held = column_of(batch, "doc_id").to_pylist(), column_of(batch, "held").to_pylist()
-            for first, texts in slices(column_of(batch, "text")):
-                lists = [t.encode().lower().split() for t in texts]
-                flat = [w for ws in lists for w in ws]
-                for w in dict.fromkeys(flat):
-                    number.setdefault(w, len(number))
-                tokens.append(np.fromiter(map(number.__getitem__, flat), np.int64, len(flat)))
-                lengths += map(len, lists)
-                ids += all_ids[first : first + len(texts)]
-                flags += all_held[first : first + len(texts)]
-                held_chars += sum(map(len, texts))
+            all_ids, all_held, texts = column_of(batch, "doc_id").to_pylist(), column_of(batch, "held").to_pylist(), column_of(batch, "text")
+            for first, end in runs(texts):
+                some = texts.slice(first, end - first)
+                words, n = cut_words(some)
+                found.append(words)
+                lengths += n.tolist()
+                ids += all_ids[first:end]
+                flags += all_held[first:end]
+                held_chars += pc.sum(pc.utf8_length(some)).as_py() or 0
                 if held_chars >= chunk_chars:
                     yield flush()
-                    number.clear()
-                    ids, flags, lengths, tokens, held_chars = [], [], [], [], 0
+                    ids, flags, lengths, found, held_chars = [], [], [], [], 0
+                    give_back()
         if ids:
             yield flush()
+        found.clear()
+        give_back()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(held).alias("held"), F.col(text_column).alias("text")).mapInArrow(pack, PACKED)
 
@@ -107,9 +131,8 @@ class Chunk:
 
     @classmethod
     def of(cls, row: dict) -> Chunk:
-        planes = np.frombuffer(_open(row["tokens"]), np.uint8).reshape(4, -1)
         vocab = _open(row["vocab"])
-        return cls(vocab.split(b"\n") if vocab else [], np.array(row["doc_ids"], object), np.array(row["held"], bool), np.array(row["lengths"], np.int64), np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
+        return cls(vocab.split(b"\n") if vocab else [], np.array(row["doc_ids"], object), np.array(row["held"], bool), np.array(row["lengths"], np.int64), _open_numbers(row["tokens"]))
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -164,49 +187,64 @@ def _time_major(tokens: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> t
 def expected(model: Hmm, tokens: np.ndarray, first: np.ndarray, lengths: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, float]:
     """Baum-Welch counts of some sequences: rows for each symbol, each state moved from, starts and later starts."""
     flat, active, order = _time_major(tokens, first, lengths)
-    states = len(model.start)
-    seen = model.emit[flat]
-    at = np.concatenate([[0], np.cumsum(active)])
+    states, symbols = len(model.start), len(model.emit)
+    # one row a state, so that every operation runs along the sequences
+    move, back = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.move)
+    seen = np.take(np.ascontiguousarray(model.emit.T), flat, axis=1)
+    at = np.concatenate([[0], np.cumsum(active)]).tolist()
+    steps = active.tolist()
     alpha, scale = np.empty_like(seen), np.empty(len(flat))
-    a = np.where(begins[order][:, None], model.start, model.share) * seen[: active[0]]
-    for t in range(len(active)):
+    for t, n in enumerate(steps):
+        here = slice(at[t], at[t + 1])
+        a, c = alpha[:, here], scale[here]
         if t:
-            a = (alpha[at[t - 1] : at[t - 1] + active[t]] @ model.move) * seen[at[t] : at[t + 1]]
-        c = a.sum(1)
-        scale[at[t] : at[t + 1]] = c
-        alpha[at[t] : at[t + 1]] = a / c[:, None]
-    beta = np.ones_like(seen)
+            np.matmul(move, alpha[:, at[t - 1] : at[t - 1] + n], out=a)
+        else:
+            a[:] = np.where(begins[order], model.start[:, None], model.share[:, None])
+        a *= seen[:, here]
+        a.sum(0, out=c)
+        a /= c
+    seen /= scale
+    beta = np.ones((states, steps[0]))  # of the step at hand; a sequence that ends there still has its ones
     moves = np.zeros((states, states))
-    for t in range(len(active) - 2, -1, -1):
-        n, here, there = active[t + 1], at[t], slice(at[t + 1], at[t + 2])
-        ahead = seen[there] * beta[there] / scale[there][:, None]
-        moves += alpha[here : here + n].T @ ahead
-        beta[here : here + n] = ahead @ model.move.T
-    gamma = alpha * beta
-    gamma /= gamma.sum(1, keepdims=True)
-    out = np.zeros((len(model.emit) + states + 2, states))
+    for t in range(len(steps) - 1, -1, -1):
+        n, here = steps[t], slice(at[t], at[t + 1])
+        alpha[:, here] *= beta[:, :n]  # now the states' probabilities: the scales make them sum to 1
+        if t:
+            ahead = seen[:, here]
+            ahead *= beta[:, :n]
+            moves += alpha[:, at[t - 1] : at[t - 1] + n] @ ahead.T
+            np.matmul(back, ahead, out=beta[:, :n])
+    out = np.zeros((symbols + states + 2, states))
     for s in range(states):
-        out[: len(model.emit), s] = np.bincount(flat, gamma[:, s], len(model.emit))
-    out[len(model.emit) : -2] = moves * model.move
-    g, b = gamma[: active[0]], begins[order]
-    out[-2], out[-1] = g[b].sum(0), g[~b].sum(0)
+        out[:symbols, s] = np.bincount(flat, alpha[s], symbols)
+    out[symbols:-2] = moves * model.move
+    g, b = alpha[:, : steps[0]], begins[order]
+    out[-2], out[-1] = g[:, b].sum(1), g[:, ~b].sum(1)
     return out, float(np.log10(scale).sum())
 
 
 def log_likelihood(model: Hmm, tokens: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 of each whole sequence's probability, by the scaled forward recursion."""
     flat, active, order = _time_major(tokens, first, lengths)
-    out, a, at = np.zeros(len(lengths)), None, 0
-    for n in active:
-        seen = model.emit[flat[at : at + n]]
-        a = model.start * seen if a is None else (a[:n] @ model.move) * seen
-        c = a.sum(1)
-        out[:n] += np.log10(c)
-        a = a / c[:, None]
+    move, emit = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
+    scale, a, at = np.empty(len(flat)), None, 0
+    out = np.zeros(len(lengths))
+    for n in active.tolist():
+        c = scale[at : at + n]
+        a = np.repeat(model.start[:, None], n, 1) if a is None else move @ a[:, :n]
+        a *= np.take(emit, flat[at : at + n], axis=1)
+        a.sum(0, out=c)
+        a /= c
         at += n
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+    np.log10(scale, out=scale)
+    at = 0
+    for n in active.tolist():
+        out[:n] += scale[at : at + n]
+        at += n
+    result = np.empty_like(out)
+    result[order] = out
+    return result
 
 
 def _with_ends(chunk: Chunk, symbols: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,11 +291,27 @@ def word_table(packed: DataFrame) -> DataFrame:
                         [pa.array(chunk.words[some], pa.binary()), pa.array([row["chunk"]] * len(n[some]), pa.int64()), pa.array(np.arange(len(n), dtype=np.int32)[some]), pa.array(n[some].astype(np.int64))],
                         names=["word", "chunk", "position", "n"],
                     )
+                row = chunk = train = n = None
+        give_back()
 
     rows = packed.select(*packed.columns).mapInArrow(count, "word binary, chunk long, position int, n long")
-    of_word = Window.partitionBy("word")
-    first = F.row_number().over(of_word.orderBy("chunk")) == 1
-    return rows.select("chunk", "position", F.sum("n").over(of_word).alias("c"), F.when(first, F.col("word")).alias("word"))
+    of_word = Window.partitionBy("word").orderBy("chunk")  # one order for both, so that rows are sorted once
+    first, all_rows = F.row_number().over(of_word) == 1, of_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.select("chunk", "position", F.sum("n").over(all_rows).alias("c"), F.when(first, F.col("word")).alias("word"))
+
+
+def training_symbols(packed: DataFrame, symbols: Symbols) -> DataFrame:
+    """``symbols, lengths``: one row per chunk with the symbols of its training documents, ends included."""
+    sent = packed.sparkSession.sparkContext.broadcast(symbols)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            flat, _, n = _with_ends(chunk, sent.value.of(chunk.words), np.flatnonzero(~chunk.held))
+            yield pa.RecordBatch.from_arrays([pa.array([_press_numbers(flat)], pa.binary()), pa.array([n.tolist()], pa.list_(pa.int64()))], names=["symbols", "lengths"])
+            chunk = flat = None
+        give_back()
+
+    return packed.mapInArrow(number, "symbols binary, lengths array<long>")
 
 
 def train(packed: DataFrame, words: DataFrame, *, frequent: int = 3000, classes: int = 512, states: int = 8, rounds: int = 5, longest: int = 1024, seed: int = 7) -> LanguageModel:
@@ -285,23 +339,28 @@ def train(packed: DataFrame, words: DataFrame, *, frequent: int = 3000, classes:
     counts[END] = ends
     shares = (counts + 0.1) / (counts + 0.1).sum()
     hmm = Hmm.begin(shares, states, seed)
-    for _ in range(rounds if ends else 0):
-        sent = spark.sparkContext.broadcast((symbols, hmm))
+    rounds = rounds if ends else 0
+    sequences = written(training_symbols(packed, symbols), "sequences") if rounds else None
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(hmm)
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, model = sent.value
-            sums = np.zeros((own.total + states + 2, states))
-            for chunk in chunks(batches):
-                flat, first, n = _with_ends(chunk, own.of(chunk.words), np.flatnonzero(~chunk.held))
-                pieces = -(-n // longest)
-                k = ragged(np.zeros(len(n), np.int64), pieces)
-                at, size = np.repeat(first, pieces) + k * longest, np.minimum(np.repeat(n, pieces) - k * longest, longest)
-                for some in _groups(size, 400_000):
-                    sums += expected(model, flat, at[some], size[some], k[some] == 0)[0]
+            sums = np.zeros((len(shares) + states + 2, states))
+            for batch in batches:
+                for j in range(batch.num_rows):
+                    row = batch.slice(j, 1).to_pylist()[0]
+                    flat, n = _open_numbers(row["symbols"]), np.array(row["lengths"], np.int64)
+                    first, pieces = np.cumsum(n) - n, -(-n // longest)
+                    k = ragged(np.zeros(len(n), np.int64), pieces)
+                    at, size = np.repeat(first, pieces) + k * longest, np.minimum(np.repeat(n, pieces) - k * longest, longest)
+                    for some in _groups(size, 400_000):
+                        sums += expected(sent.value, flat, at[some], size[some], k[some] == 0)[0]
+                    row = flat = None
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), *(pa.array(c) for c in sums.T)], names=["row", *(f"s{i}" for i in range(states))])
 
         schema = "row long, " + ", ".join(f"s{i} double" for i in range(states))
-        found = packed.mapInArrow(count, schema).groupBy("row").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(states))).collect()
+        found = sequences.mapInArrow(count, schema).groupBy("row").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(states))).collect()
         sums = np.zeros((symbols.total + states + 2, states))
         for r in found:
             sums[r["row"]] = r[1:]
@@ -320,6 +379,7 @@ def score(packed: DataFrame, words: DataFrame, model: LanguageModel) -> DataFram
     sent = packed.sparkSession.sparkContext.broadcast(model)
 
     def judge(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()  # what the chunk before took
         m, parts = sent.value, []
         c_all = None
         for chunk in chunks(left.to_batches()):

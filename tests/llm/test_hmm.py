@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from quillmill.llm import hmm
 
@@ -129,3 +130,62 @@ def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = hmm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert r["train_tokens"] == 0 and r["n_known"] == 0 and r["n_tokens"] == 3 and math.isfinite(r["score"])
+
+
+def test_words_are_those_of_bytes():
+    blanks = [chr(c) for c in range(33)] + ["\x7f", "\x85", "\xa0", "\u2003", "\u3000", "\u200b"]
+    texts = [None, "", " ", "\t\n", " A b\x0bC\x0c", "ÄÖ İI ſK\u212a", "e\u0301 E\u0301", "\U0001f600A \U0001f600a", "x", *(f"A{b}B{b}{b}C{b}" for b in blanks), *(f"{b}A" for b in blanks)]
+    for some in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["no", *texts, "no"]).slice(1, len(texts)), pa.array([None], pa.string()), pa.array([], pa.string())):
+        words, n = hmm.cut_words(some)
+        lists = [(t or "").encode().lower().split() for t in some.to_pylist()]
+        assert n.tolist() == [len(ws) for ws in lists]
+        assert [w.encode() for w in words.to_pylist()] == [w for ws in lists for w in ws]
+
+
+def test_packed_texts_come_back(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, t) for i, t in corpus() if i is not None] + [(903, "\u3000 Ä\x0bä"), (904, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = []
+    packed = hmm.pack_texts(docs.withColumn("held", F.col("doc_id") % 3 == 0), "held", chunk_chars=3000).collect()
+    for r in packed:
+        chunk = hmm.Chunk.of(r.asDict())
+        assert len(set(chunk.words)) == len(chunk.words)
+        ends = np.cumsum(chunk.lengths)
+        got += [(i, h, [chunk.words[k] for k in chunk.tokens[e - n : e]]) for i, h, e, n in zip(chunk.doc_ids, chunk.held, ends, chunk.lengths)]
+    assert len(got) == len(rows)
+    assert sorted(got) == sorted((i, i % 3 == 0, (t or "").encode().lower().split()) for i, t in rows)
+
+
+def test_training_numbers_the_texts_once(spark, monkeypatch):
+    """Rounds read written symbols instead of opening every chunk and numbering its words again."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, t) for i, t in corpus() if i is not None], "doc_id long, text string")
+    packed = hmm.pack_texts(docs.withColumn("held", F.col("doc_id") % 7 == 0), "held").cache()
+    words = hmm.word_table(packed).cache()
+    passes, plain = [], type(packed).mapInArrow
+    monkeypatch.setattr(type(packed), "mapInArrow", lambda self, *a, **k: (passes.append(1) if self is packed else None, plain(self, *a, **k))[1])
+    model = hmm.train(packed, words, frequent=10, classes=4, states=2, rounds=4)
+    assert len(passes) == 1
+    symbols = {}
+    for r in hmm.training_symbols(packed, model.symbols).collect():
+        flat, at = hmm._open_numbers(r["symbols"]).tolist(), 0
+        for n in r["lengths"]:
+            symbols[len(symbols)], at = flat[at : at + n], at + n
+        assert at == len(flat)
+    of = lambda t: [*model.symbols.of((t or "").encode().lower().split()).tolist(), hmm.END]
+    assert sorted(symbols.values()) == sorted(of(t) for i, t in corpus() if i is not None and i % 7)
+
+
+def test_word_counts_take_one_sort(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "c d")], "doc_id long, text string").repartition(3)
+    packed = hmm.pack_texts(docs.withColumn("held", F.col("doc_id") == 3), "held").cache()
+    table = hmm.word_table(packed)
+    rows = table.collect()
+    assert sorted((bytes(r["word"]), r["c"]) for r in rows if r["word"] is not None) == [(b"a", 2), (b"b", 2), (b"c", 1), (b"d", 0)]
+    plan = table._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Window") == 1 + plan.count("WindowGroupLimit")
